@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, token_count, warc
+from . import byte_bpe, packing, token_count, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_packing": packing.op1_packing,
         "op2_token_counts": token_count.op2_token_counts,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op9_warc": warc.op9_warc,
