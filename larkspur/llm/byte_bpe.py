@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunks import ChunkEncoder
 from .common import table
@@ -226,7 +227,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
                 data = pa.array([codec.decode(x or []) for x in column.slice(at, 256).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, data], [*names, to])
 
-    return encoded.mapInArrow(run, encoded.schema.add(to, "binary"))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(to, T.BinaryType())]))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
