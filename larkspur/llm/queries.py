@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, token_count, toxicity, warc
+from . import byte_bpe, packing, quality, token_count, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_packing": packing.op1_packing,
         "op2_token_counts": token_count.op2_token_counts,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+        "op5_quality_rules": quality.op5_quality_rules,
         "op7_toxicity": toxicity.op7_toxicity,
         "op9_warc": warc.op9_warc,
     }
