@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, minhash, packing, quality, token_count, toxicity, warc
+from . import byte_bpe, minhash, packing, quality, substring, token_count, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_token_counts": token_count.op2_token_counts,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
         "op5_quality_rules": quality.op5_quality_rules,
+        "op6_substring": substring.op6_substring,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_minhash": minhash.op8_minhash,
         "op9_warc": warc.op9_warc,
