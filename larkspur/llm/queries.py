@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, minhash, packing, quality, substring, token_count, toxicity, warc
+from . import byte_bpe, embedding_join, minhash, packing, quality, substring, token_count, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_packing": packing.op1_packing,
         "op2_token_counts": token_count.op2_token_counts,
         "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+        "op4_embedding_join": embedding_join.op4_embedding_join,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_substring": substring.op6_substring,
         "op7_toxicity": toxicity.op7_toxicity,
@@ -26,5 +27,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_embedding_join": embedding_join.ORACLE,
         "op9_warc": warc.ORACLE,
     }
