@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_join, minhash, packing, quality, substring, token_count, toxicity, warc
+from . import byte_bpe, embedding_join, html_text, minhash, packing, quality, substring, token_count, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_minhash": minhash.op8_minhash,
         "op9_warc": warc.op9_warc,
+        "op10_html_text": html_text.op10_html_text,
     }
 
 
