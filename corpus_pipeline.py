@@ -1,12 +1,79 @@
-"""The corpus pipeline: toxicity, quality rules, near-duplicates, repeated passages, packing."""
+"""The corpus pipeline: toxicity, quality rules, near-duplicates, repeated passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents; labels
+come from the input tables. A document's row is kept as it is, unless a stage removes passages from its text: then text
+holds the kept words, joined by one space, and n_chars their characters. Documents that lose every word go.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm import minhash, packing, quality, substring, toxicity
+from larkspur.llm.common import materialize, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the toxicity threshold rejects."""
+    docs = docs.select(*COLUMNS)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that fail the base limits or a learned rule."""
+    docs = docs.select(*COLUMNS)
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.verdict(F.col("text"), rules)["kept"])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of smallest id of each group of near-duplicates."""
+    docs = docs.select(*COLUMNS)
+    kept = materialize(minhash.near_duplicates(docs).where("kept").select("doc_id"))
+    return docs.join(kept, "doc_id", "left_semi")
+
+
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove passages that stand in an earlier document, and documents of which nothing is left."""
+    docs = docs.select(*COLUMNS)
+    cut = materialize(substring.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text"))
+    text = F.coalesce("kept_text", "text")
+    return (
+        docs.join(cut, "doc_id", "left")
+        .where(F.col("kept_text").isNull() | (F.col("kept_text") != ""))
+        .select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars"))
+    )
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of at most 1024 ids; one row per piece."""
+    import public_tokenizers
+
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality rules", quality_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("repeated passages", repeated_passage_stage),
+    ("packing", packing_stage),
+]
+
+#: Learned scores, similarity classes and tokens are beyond SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each stage's rows are written as Parquet and read again by the next one."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs)
     return docs

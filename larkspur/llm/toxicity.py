@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Texts, Words, mix, slices, table
 
@@ -121,6 +122,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     return learn([(y, f.values.to_numpy()) for y, f in zip(got.column(0).to_pylist(), got.column(1), strict=True)])
 
 
+def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", to: str = "score") -> DataFrame:
+    """Add the score of every row; null and empty texts get the score of no features."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(names.index(text))):
+                rows = batch.slice(part.first, len(part))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score_texts(part, *sent.value))], [*names, to])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row; null and empty texts get the score of no features."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -139,9 +154,3 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
-
-
-def rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Keys of the documents that the threshold rejects."""
-    keys = docs.select("doc_id", "text")
-    return score(keys, train(keys, labels)).where(F.col("score") >= THRESHOLD).select("doc_id")
