@@ -1 +1,71 @@
-"""Queries."""
+"""Queries of full-text search."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..tables import load
+from ..text import search as T
+from .catalog import register
+
+WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9_]+')"
+EN = f"(SELECT doc_id, {WORDS} AS w FROM documents)"
+COUNT = lambda x: f"len(list_filter(w, lambda t: t = '{x}'))"
+
+
+@register("text_tokens", f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, w[1] AS first_token FROM {EN}")
+def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = T.tokens(F.col("text"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.get(w, F.lit(0)).alias("first_token"))
+
+
+SUFFIX_SQL = "CASE WHEN t LIKE '%ies' AND length(t) > 3 THEN t[:-4] || 'y' WHEN t LIKE '%es' AND length(t) > 2 THEN t[:-3] WHEN t LIKE '%s' AND length(t) > 1 THEN t[:-2] WHEN t LIKE '%ed' AND length(t) > 2 THEN t[:-3] WHEN t LIKE '%ing' AND length(t) > 3 THEN t[:-4] WHEN t LIKE '%ly' AND length(t) > 2 THEN t[:-3] ELSE t END"
+
+
+@register("text_simple_vector", f"SELECT lexeme, count(*) AS n FROM (SELECT {SUFFIX_SQL} AS lexeme FROM (SELECT unnest(w) AS t FROM {EN})) GROUP BY lexeme")
+def text_simple_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.lexemes(load(spark, sf_dir, "documents"), "doc_id", "text", "simple").groupBy("lexeme").agg(F.count("*").alias("n"))
+
+
+@register("text_english_vector")
+def text_english_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.to_tsvector(load(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.size("vector").alias("n_lexemes"))
+
+
+def _vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with the words themselves as lexemes, which the queries below can count."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("p", "lexeme"))
+    by = docs.groupBy("doc_id", "lexeme").agg(F.array_sort(F.collect_list(F.col("p") + 1)).alias("positions"))
+    return by.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lexeme", "positions"))).alias("vector"))
+
+
+@register("text_match", f"SELECT doc_id FROM {EN} WHERE ({COUNT('the')} > 0 AND {COUNT('of')} = 0) OR {COUNT('der')} > 0")
+def text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector(spark, sf_dir).where(T.Query.parse("the & !of | der").matches(F.col("vector"))).select("doc_id")
+
+
+@register("text_rank", f"SELECT doc_id, CAST({COUNT('the')} + {COUNT('la')} AS DOUBLE) AS score FROM {EN} WHERE {COUNT('the')} + {COUNT('la')} > 0 ORDER BY score DESC, doc_id LIMIT 25")
+def text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = T.ts_rank(F.col("vector"), T.Query.parse("the | la"))
+    return _vector(spark, sf_dir).select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(25)
+
+
+@register("text_rank_cover", f"SELECT doc_id, round(CASE WHEN n > 1 THEN n / (1 + CAST(hi - lo AS DOUBLE) / (n - 1)) ELSE n / 2.0 END, 8) AS score FROM (SELECT doc_id, CAST(count(*) AS DOUBLE) AS n, min(p) AS lo, max(p) AS hi FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM {EN}) WHERE t IN ('the', 'la') GROUP BY doc_id)")
+def text_rank_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = T.ts_rank_cd(F.col("vector"), T.Query.parse("the | la"))
+    return _vector(spark, sf_dir).select("doc_id", F.round(score, 8).alias("score")).where("score > 0")
+
+
+@register("text_headline")
+def text_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", T.ts_headline(F.col("text"), T.Query.parse("the | la")).alias("headline"))
+
+
+@register("text_query_rewrite", f"SELECT doc_id FROM {EN} WHERE {COUNT('die')} > 0 OR {COUNT('das')} > 0")
+def text_query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    query = T.Query.parse("article").rewrite({"article": T.Query.parse("die | das")})
+    return _vector(spark, sf_dir).where(query.matches(F.col("vector"))).select("doc_id")
+
+
+@register("text_common_lexemes")
+def text_common_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.lexeme_statistics(load(spark, sf_dir, "documents"), "doc_id", "text")

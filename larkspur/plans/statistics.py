@@ -1 +1,50 @@
-"""Queries."""
+"""Queries of column statistics and sketches."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..stats import profile as P
+from ..tables import load
+from .catalog import register
+
+
+def _profile_sql(table: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, round(1 - count({c}) / CAST(count(*) AS DOUBLE), 6) AS null_fraction, round(avg(length(CAST({c} AS VARCHAR))), 6) AS avg_width, count(DISTINCT {c}) AS n_distinct FROM {table}" for c in columns)
+
+
+@register("stats_profile", _profile_sql("customer", ["c_name", "c_nationkey", "c_mktsegment"]))
+def stats_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.column_profile(load(spark, sf_dir, "customer"), ["c_name", "c_nationkey", "c_mktsegment"])
+
+
+@register("stats_common_values", "SELECT l_suppkey AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
+def stats_common_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.common_values(load(spark, sf_dir, "lineitem"), "l_suppkey")
+
+
+@register("stats_histogram", "SELECT quantile_cont(CAST(o_custkey AS DOUBLE), [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) AS bounds FROM orders")
+def stats_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.histogram(load(spark, sf_dir, "orders"), "o_custkey")
+
+
+@register("stats_estimate_distinct", "WITH c AS (SELECT o_custkey, count(*) AS c FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 1), s AS (SELECT count(*) AS d, CAST(sum(CAST(c = 1 AS INTEGER)) AS BIGINT) AS f1, CAST(sum(c) AS BIGINT) AS n FROM c) SELECT d, f1, n, round((d + CASE WHEN f1 > 0 AND n > f1 THEN f1 * n / CAST(n - f1 AS DOUBLE) ELSE 0 END) * 15000 / n, 6) AS estimate FROM s")
+def stats_estimate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the sample that the estimator is about."""
+    sample = load(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    return P.estimate_distinct(sample, "o_custkey", F.lit(15000)).withColumn("estimate", F.round("estimate", 6))
+
+
+@register("stats_joint_distinct", "SELECT 'o_orderstatus+o_orderpriority' AS columns, count(DISTINCT (o_orderstatus, o_orderpriority)) AS n FROM orders UNION ALL SELECT 'o_orderstatus+o_custkey', count(DISTINCT (o_orderstatus, o_custkey)) FROM orders UNION ALL SELECT 'o_orderpriority+o_custkey', count(DISTINCT (o_orderpriority, o_custkey)) FROM orders UNION ALL SELECT 'o_orderstatus+o_orderpriority+o_custkey', count(DISTINCT (o_orderstatus, o_orderpriority, o_custkey)) FROM orders")
+def stats_joint_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.joint_distinct(load(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority", "o_custkey"])
+
+
+@register("stats_dependency", "SELECT CAST(sum(CASE WHEN k <= 1 THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS degree FROM (SELECT n_nationkey, count(DISTINCT n_regionkey) AS k, count(*) AS n FROM nation GROUP BY 1)")
+def stats_dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.dependency(load(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey")
+
+
+@register("stats_approx_distinct", "SELECT true AS within")
+def stats_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch's count lies within three hundredths of the exact one."""
+    return load(spark, sf_dir, "lineitem").agg((F.abs(P.approx_distinct("l_orderkey") / F.countDistinct("l_orderkey") - 1) < 0.03).alias("within"))
