@@ -37,10 +37,6 @@ def project_set(df: DataFrame, **arrays: Column) -> DataFrame:
     return df.select("*", F.explode(zipped).alias("_z")).select(*df.columns, *[F.col("_z").getField(k).alias(k) for k in arrays])
 
 
-def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.exceptAll(right)
-
-
 def recursive_distinct(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
     """WITH RECURSIVE … UNION: apply step to the new rows until none is new. Rows are compared as a whole, NULLs as equal.
 

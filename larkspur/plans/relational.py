@@ -1,8 +1,15 @@
-"""Relational queries."""
+"""Relational queries by the DataFrame API."""
+
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import user
+from ..operators import relational as R
+from ..sources import files
+from ..streaming import windows
 from ..tables import load
 from .catalog import register
 
@@ -26,3 +33,132 @@ def flagship_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where("n > 10")
         .orderBy(F.col("l_returnflag").asc_nulls_last(), F.col("l_linestatus").asc_nulls_last())
     )
+
+
+@register("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+def distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.distinct_on(load(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@register("limit_with_ties", "SELECT p_partkey, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 10")
+def limit_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.limit_with_ties(load(spark, sf_dir, "part"), 10, [F.desc_nulls_last("p_size")], ["p_size"]).select("p_partkey", "p_size")
+
+
+@register("window_groups_frame", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n FROM part")
+def window_groups_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.groups_frame(load(spark, sf_dir, "part"), ["p_brand"], "p_size", 2, 1, n=lambda: F.count("*")).select("p_partkey", "n")
+
+
+@register("project_set", "SELECT n_nationkey, unnest(range(1, CAST(n_regionkey + 1 AS BIGINT))) AS a, unnest([10, 20]) AS b FROM nation")
+def project_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = F.when(F.col("n_regionkey") > 0, F.sequence(F.lit(1).cast("long"), F.col("n_regionkey").cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return R.project_set(load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), a=series, b=F.array(F.lit(10), F.lit(20))).drop("n_regionkey")
+
+
+@register("cte_recursive_distinct", "WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation), t(n) AS (SELECT CAST(1 AS INTEGER) UNION SELECT CAST(b AS INTEGER) FROM t JOIN e ON n = a) SELECT n FROM t")
+def cte_recursive_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("b"))
+    seed = spark.range(1).select(F.lit(1).alias("n"))
+    return R.recursive_distinct(seed, lambda new: new.join(edges, F.col("n") == F.col("a")).select(F.col("b").alias("n")))
+
+
+@register("not_in_with_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN s_suppkey = 5 THEN NULL ELSE s_nationkey END FROM supplier)")
+def not_in_with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = load(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") != 5, F.col("s_nationkey")).alias("k"))
+    return R.not_in(load(spark, sf_dir, "nation"), "n_nationkey", other, "k").select("n_nationkey")
+
+
+@register("not_in_without_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 12)")
+def not_in_without_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.not_in(load(spark, sf_dir, "nation"), "n_nationkey", load(spark, sf_dir, "supplier").where("s_suppkey < 12"), "s_nationkey").select("n_nationkey")
+
+
+@register("crosstab_pivot", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS F, count(*) FILTER (WHERE o_orderstatus = 'O') AS O, count(*) FILTER (WHERE o_orderstatus = 'P') AS P FROM orders GROUP BY 1")
+def crosstab_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.pivot(load(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], F.count(F.lit(1)))
+    return out.select("o_orderpriority", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in "FOP"])
+
+
+@register("query_parameters", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000")
+def query_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql("SELECT o_orderkey FROM {orders} WHERE o_orderstatus = :s AND o_totalprice > :p", args={"s": "P", "p": 200000}, orders=load(spark, sf_dir, "orders"))
+
+
+@register("dml_insert_select", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey + 100, upper(r_name) FROM region WHERE r_regionkey > 2")
+def dml_insert_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = load(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    return region.unionByName(region.where("r_regionkey > 2").select((F.col("r_regionkey") + 100).alias("r_regionkey"), F.upper("r_name").alias("r_name")))
+
+
+@register("dml_update", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 0 ELSE p_size END AS p_size FROM part")
+def dml_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part").withColumn("p_size", F.when(F.col("p_size") > 40, 0).otherwise(F.col("p_size"))).select("p_partkey", "p_size")
+
+
+@register("dml_delete", "SELECT p_partkey FROM part WHERE (p_size > 40) IS NOT TRUE")
+def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part").where(~F.coalesce(F.col("p_size") > 40, F.lit(False))).select("p_partkey")
+
+
+@register("dml_constraints", "SELECT p_partkey, p_size FROM part")
+def dml_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.check_rows(load(spark, sf_dir, "part"), ("p_partkey",), "p_size >= 0").select("p_partkey", "p_size")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@register("copy_round_trip", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS c_name, c_acctbal FROM customer")
+def copy_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = load(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("c_name"), "c_acctbal")
+    return files.copy_from(spark, files.copy_to(out, _folder(spark, "copy")), out.schema)
+
+
+@register("foreign_csv_scan", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 9")
+def foreign_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return files.read_foreign_csv(spark, files.copy_to(out, _folder(spark, "csv"), ","), out.schema).where("n_nationkey < 9")
+
+
+@register("partition_pruning", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'")
+def partition_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = files.write_partitioned(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), _folder(spark, "parts"), "o_orderstatus")
+    return spark.read.parquet(path).where("o_orderstatus = 'P'").select("o_orderkey", "o_orderstatus")
+
+
+@register("view_expansion", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000 AND c_nationkey = 7")
+def view_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "customer").where("c_acctbal > 5000").createOrReplaceTempView("rich_customer")
+    return spark.sql("SELECT c_custkey, c_acctbal FROM rich_customer WHERE c_nationkey = 7")
+
+
+@register("udf_sql_function", "SELECT p_partkey, p_size * 2 + 1 AS y FROM part")
+def udf_sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user.create_function(spark, "twice_plus_one", "x INT", "INT", "x * 2 + 1")
+    load(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql("SELECT p_partkey, twice_plus_one(p_size) AS y FROM part")
+
+
+@register("udf_strict", "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey + 1 END AS y FROM customer")
+def udf_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey"))
+    return load(spark, sf_dir, "customer").select("c_custkey", user.strict(lambda v: F.coalesce(v, F.lit(0)) + 1, x).alias("y"))
+
+
+@register("udaf_geometric_mean", "SELECT p_brand, round(exp(avg(ln(p_retailprice))), 4) AS g FROM part WHERE p_retailprice > 0 GROUP BY p_brand")
+def udaf_geometric_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part").groupBy("p_brand").agg(user.geometric_mean("p_retailprice").alias("g")).withColumn("g", F.round("g", 4))
+
+
+@register("enum_ordinal", "SELECT o_orderkey, CAST(list_position(['O', 'F'], o_orderstatus) AS BIGINT) AS k FROM orders")
+def enum_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select("o_orderkey", user.enum_ordinal(F.col("o_orderstatus"), ["O", "F"]).alias("k"))
+
+
+@register("stream_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed aggregate of the streaming module, over the table."""
+    return windows.hourly_counts(load(spark, sf_dir, "events"))
