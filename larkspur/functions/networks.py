@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ipv4(address: Column) -> Column:
@@ -23,7 +24,7 @@ def in_cidr(address: Column, network: Column) -> Column:
     return F.floor(ipv4(address) / size) == F.floor(base / size)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ipv6_text(address: pd.Series) -> pd.Series:
     """The short form of an IPv6 address; NULL for what is none."""
 

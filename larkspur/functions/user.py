@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def strict(function: Callable[..., Column], *args: Column) -> Column:
@@ -27,7 +28,7 @@ def create_function(spark: SparkSession, name: str, arguments: str, returns: str
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geometric_mean(values: pd.Series) -> float:
     """An aggregate over Arrow batches; values of 0 and less and NULLs are passed over."""
     import numpy as np

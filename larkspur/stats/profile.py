@@ -47,8 +47,8 @@ def joint_distinct(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def dependency(df: DataFrame, a: str, b: str) -> DataFrame:
     """The share of rows whose value of a goes with one value of b only."""
-    by = df.groupBy(a).agg(F.countDistinct(b).alias("k"), F.count("*").alias("n"))
-    return by.agg((F.sum(F.when(F.col("k") <= 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("degree"))
+    by = df.groupBy(a).agg(F.countDistinct(b).alias("_k"), F.count("*").alias("_n"))
+    return by.agg((F.sum(F.when(F.col("_k") <= 1, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("degree"))
 
 
 def approx_distinct(column: str, error: float = 0.0081) -> Column:

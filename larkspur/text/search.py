@@ -12,6 +12,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stem import porter
 
@@ -30,7 +31,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_udf(words: pd.Series) -> pd.Series:
     return words.map(porter, na_action="ignore")
 
