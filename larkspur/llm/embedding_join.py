@@ -209,7 +209,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """(key, n_links, component_id, kept) of every vector.
 
     Vectors that are null, empty or zero, hold nulls or non-finite components, or have a null label link with nothing; so do
-    vectors of different lengths. Copies link with each other. An empty table gives no rows. Other columns are ignored.
+    vectors of different lengths. Copies link with each other; a row with a null key is kept. An empty table gives no rows. Other columns are ignored.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("embedding"))
     double = rows.schema["embedding"].dataType.elementType.simpleString() == "double"
@@ -228,7 +228,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     single = F.col("usable")
     out = named.select("id", "usable", "h1", "h2").join(found, ["h1", "h2"], "left")
     component = F.when(single, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.when(single, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(key), F.when(single, F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op4_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:

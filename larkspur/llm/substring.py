@@ -210,8 +210,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(key, n_words, n_removed, kept_sha256, kept_text) of every document.
 
     kept_text is null where nothing is removed: the text stays as it is. Null and empty texts have no words. A document
-    whose words equal those of a smaller key loses them all if they fill a window. Ties go to the smallest key; an empty
-    table gives no rows. Other columns are ignored.
+    whose words equal those of a smaller key loses them all if they fill a window. Ties go to the smallest key;
+    a row with a null key stays as it is and removes nothing. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()

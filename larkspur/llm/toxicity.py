@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], key: str
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score all documents; learn from the labelled rows that are not held out."""
+    """Score all documents; learn from the labelled rows that are not held out. A null doc_id counts as held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return score(docs, model).select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(True)).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

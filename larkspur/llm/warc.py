@@ -195,7 +195,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", body: st
             for i in range(batch.num_rows):
                 row = [batch.column(k)[i].as_py() for k in range(5)]
                 revisit = row[4] is not None
-                held.write(build_record(str(row[0]), "revisit" if revisit else "response", row[1], row[3], len(row[2]), b"" if revisit else row[2], str(row[4]) if revisit else None))
+                held.write(build_record("" if row[0] is None else str(row[0]), "revisit" if revisit else "response", row[1], row[3], len(row[2]), b"" if revisit else row[2], str(row[4]) if revisit else None))
                 if held.tell() >= ARCHIVE_BYTES:
                     yield store()
         if held.tell():
@@ -218,7 +218,7 @@ def read_warc(spark: SparkSession, folder: str, range_bytes: int = 4 << 20) -> D
             for path, length, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store_fs, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
                 with store_fs.open_input_file(base) as source:
-                    size = 2 * range_bytes
+                    size = range_bytes + max(range_bytes, 1 << 16)
                     while True:
                         source.seek(first)
                         data = source.read(min(size, length - first))
@@ -236,8 +236,8 @@ def read_warc(spark: SparkSession, folder: str, range_bytes: int = 4 << 20) -> D
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write pages as WARC, read the archives back, and report one row per page.
 
-    Null html is an empty payload and a small one; equal small payloads are all responses. Columns of pages other
-    than page_id, url and html are ignored.
+    Null html is an empty payload and a small one; equal small payloads are all responses. A null url is left out of the
+    record, a null page_id is a response without an id. Columns of pages other than page_id, url and html are ignored.
     """
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     if "://" not in folder and not folder.startswith("file:"):
@@ -246,7 +246,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_warc(spark, write_archives(table(spark, sf_dir, "pages"), folder))
     whole = F.col("record_type") == "response"
     return records.select(
-        F.col("record_id").cast("long").alias("page_id"),
+        F.nullif("record_id", F.lit("")).cast("long").alias("page_id"),
         F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(whole, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type",
