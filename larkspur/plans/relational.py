@@ -162,3 +162,45 @@ def enum_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windowed aggregate of the streaming module, over the table."""
     return windows.hourly_counts(load(spark, sf_dir, "events"))
+
+
+@register("procedural_script", "SELECT CAST(55 AS INTEGER) AS total")
+def procedural_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables, a loop, a condition and a result, as an SQL script."""
+    return spark.sql(
+        """BEGIN
+             DECLARE i INT DEFAULT 0;
+             DECLARE total INT DEFAULT 0;
+             WHILE i < 100 DO
+               SET i = i + 1;
+               IF i <= 10 THEN SET total = total + i; END IF;
+             END WHILE;
+             SELECT total AS total;
+           END"""
+    )
+
+
+@register("explain_formatted")
+def explain_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql("EXPLAIN FORMATTED SELECT o_custkey, count(*) FROM orders WHERE o_totalprice > 10 GROUP BY o_custkey")
+
+
+@register("sample_rows")
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeatable tenth of the rows, by a hash of the key."""
+    return load(spark, sf_dir, "orders").where(F.pmod(F.xxhash64("o_orderkey"), F.lit(10)) == 0).select("o_orderkey")
+
+
+@register("collate_case_insensitive", "SELECT lower(n_name) AS k, count(*) AS n FROM (SELECT n_name FROM nation UNION ALL SELECT lower(n_name) FROM nation) GROUP BY 1")
+def collate_case_insensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = load(spark, sf_dir, "nation").select("n_name")
+    both = names.union(names.select(F.lower("n_name")))
+    return both.groupBy(F.collate("n_name", "UTF8_LCASE").alias("c")).agg(F.count("*").alias("n")).select(F.lower(F.collate("c", "UTF8_BINARY")).alias("k"), "n")
+
+
+@register("bloom_membership", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A membership test as a semi join, which Spark thins by a runtime Bloom filter where that pays."""
+    keys = load(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return load(spark, sf_dir, "orders").join(keys, "o_custkey", "left_semi").select("o_orderkey")

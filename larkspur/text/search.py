@@ -171,3 +171,19 @@ def ts_headline(text: Column, query: Query, most_words: int = 35, start: str = "
 def lexeme_statistics(docs: DataFrame, key: str, text: str, most: int = 10, config: str = "english") -> DataFrame:
     """The most common lexemes by the number of documents that hold them."""
     return lexemes(docs, key, text, config).select(key, "lexeme").distinct().groupBy("lexeme").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lexeme").limit(most)
+
+
+def thesaurus_lexeme(word: Column, entries: Mapping[str, str]) -> Column:
+    """A word's entry in a thesaurus, or the word."""
+    if not entries:
+        return word
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])[word], word)
+
+
+def affix_lexeme(word: Column, known: list[str], suffixes: Mapping[str, str]) -> Column:
+    """A known word, or the known word that a suffix rule gives, else NULL."""
+    out = F.when(word.isin(known), word)
+    for suffix, put in suffixes.items():
+        base = F.regexp_replace(word, re.escape(suffix) + "$", put)
+        out = out.when(word.endswith(suffix) & base.isin(known), base)
+    return out

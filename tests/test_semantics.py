@@ -116,3 +116,11 @@ def test_stream_equals_table(spark):
     sf = "/root/testdata/sf0.001"
     stream = windows.run_once(windows.hourly_counts(windows.event_stream(spark, sf)), "hourly")
     assert values(stream) == values(windows.hourly_counts(spark.read.parquet(f"{sf}/events.parquet")))
+
+
+def test_dictionaries(spark):
+    assert one(spark, search.thesaurus_lexeme(F.lit("auto"), {"auto": "car"})) == "car"
+    assert one(spark, search.thesaurus_lexeme(F.lit("bike"), {"auto": "car"})) == "bike"
+    assert one(spark, search.affix_lexeme(F.lit("studies"), ["study"], {"ies": "y"})) == "study"
+    assert one(spark, search.affix_lexeme(F.lit("nothing"), ["study"], {"ies": "y"})) is None
+    assert one(spark, search.simple_lexeme(F.lit("flies"))) == "fly"
