@@ -5,8 +5,9 @@ similarity is estimated from the packed bits by counting, corrected for chance m
 the full shingle sets. Documents with equal sets are one class from the start, so copies never meet in pairs.
 
 Links only matter as far as they connect. In the first round each class meets the smallest class of each of its buckets. A bucket
-whose members are connected by then is done. In the others, the members outside the smallest one's component meet all
-members of other components, so no link between unconnected documents of a bucket is passed over.
+whose members are connected by then is done; in the others, a member picked by hash meets the rest. In those still
+open, the members outside the main component meet all members of other components, inside the join and by full sets, so
+no link between unconnected documents of a bucket is passed over and no pair without a link is made.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BANDS, ROWS = 32, 4
 BITS = 2
 #: Estimates from here are confirmed: five standard errors below the limit.
 LEAST_ESTIMATE = 0.5
+#: Rounds in which open buckets get another member as their head.
+PICKS = 2
 _SEEDS = np.random.default_rng(20240).integers(1, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 _SIG_LONGS = BANDS * ROWS * BITS // 64
 
@@ -130,48 +133,67 @@ def estimate(a: Column, b: Column) -> Column:
     return (1 - total / (BANDS * ROWS) - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    sets = materialize(full_sets(docs.select(key, text).join(wanted, key, "left_semi"), key, text))
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * PERCENT).select("a", "b")
+def similar(a: Column, b: Column) -> Column:
+    """Whether two full sets are similar enough."""
+    shared = F.size(F.array_intersect(a, b))
+    return shared * 100 >= (F.size(a) + F.size(b) - shared) * PERCENT
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) among distinct pairs: first by the estimate from packed bits, then by the full sets."""
+    sig = lambda c: sets.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")).hint("merge")
+    full = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")).hint("merge")
+    likely = materialize(pairs.join(sig("a"), "a").join(sig("b"), "b").where(estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE).select("a", "b"))
+    return materialize(likely.join(full("a"), "a").join(full("b"), "b").where(similar(F.col("set_a"), F.col("set_b"))).select("a", "b"))
+
+
+def open_buckets(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """(bucket, id, component) of the buckets whose members are not all connected."""
+    placed = buckets.join(joined.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    spots = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("bucket")
+    return materialize(placed.join(spots.hint("merge"), "bucket"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every document.
 
     Null, empty and wordless texts have no shingles and are linked with nothing. Equal sets are one class; ties go to the
-    smallest key. An empty table gives no rows. Other columns are ignored.
+    smallest key; a row with a null key is kept. An empty table gives no rows. Other columns are ignored.
     """
-    docs = docs.select(key, text)
-    seen = materialize(features(docs, key, text))
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    seen = materialize(features(docs, "id", "text"))
     classes = materialize(seen.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep")))
-    reps = seen.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    members = materialize(reps.select("id", "sig", F.posexplode("bands").alias("band", "bucket")).select("id", "sig", "bucket"))
-    heads = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = materialize(members.join(heads, "bucket"))  # the buckets that hold two classes or more
-    sigs = reps.select(F.col("id").alias("head"), F.col("sig").alias("head_sig"))
-    first = buckets.where("id != head").select("head", "id", "sig").distinct().join(sigs, "head").where(estimate(F.col("sig"), F.col("head_sig")) >= LEAST_ESTIMATE)
-    links = materialize(confirmed(materialize(first.select(F.col("head").alias("a"), F.col("id").alias("b"))), docs, key, text))
-    joined = materialize(components(links))
-
-    placed = buckets.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spots = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.min_by("component", "id").alias("head_component")).where("c1 != c2").select("bucket", "head_component")
-    open_members = materialize(placed.join(spots, "bucket").select("bucket", "id", "sig", "head", "component", "head_component"))
-    outside = open_members.where("component != head_component").select("bucket", F.col("id").alias("a"), F.col("sig").alias("sa"), F.col("component").alias("ca"))
-    others = open_members.where("id != head").select("bucket", F.col("id").alias("b"), F.col("sig").alias("sb"), F.col("component").alias("cb"))
-    likely = (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("b")) & (estimate(F.col("sa"), F.col("sb")) >= LEAST_ESTIMATE)
-    second = outside.join(others, (outside["bucket"] == others["bucket"]) & likely).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = confirmed(materialize(second), docs, key, text)
+    reps = seen.join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
+    members = materialize(reps.select("id", F.explode("bands").alias("bucket")))
+    shared = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
+    buckets = materialize(members.join(shared.hint("merge"), "bucket"))  # the buckets that hold two classes or more
+    wanted = buckets.select("id").distinct()
+    texts = docs.join(wanted.hint("merge"), "id", "left_semi")
+    sets = materialize(full_sets(texts, "id", "text").join(seen.select("id", "sig").hint("merge"), "id"))
+
+    # every class meets the smallest one of each of its buckets, then one picked by hash in the buckets still open
+    links = confirmed(buckets.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sets)
+    for turn in range(PICKS):
+        left = open_buckets(buckets, components(links))
+        pick = left.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "bucket", F.lit(turn))).alias("h")).select("bucket", F.col("h.id").alias("a"), F.col("h.component").alias("ca"))
+        pairs = left.join(pick.hint("merge"), "bucket").where("component != ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+        links = links.union(confirmed(pairs, sets))
+
+    # in what is open now, the members outside the component of a bucket's head meet all others of the bucket
+    left = open_buckets(buckets, components(links))
+    head = left.groupBy("bucket").agg(F.min_by("component", F.xxhash64("id", "bucket", F.lit(PICKS))).alias("main"))
+    full = left.join(head.hint("merge"), "bucket").join(sets.hint("merge"), "id")
+    a = full.where("component != main").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "sig", "shingles")])
+    b = full.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "sig", "shingles")])
+    meet = (a["bucket"] == b["bucket"]) & (F.col("component_a") != F.col("component_b")) & (estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE) & similar(F.col("shingles_a"), F.col("shingles_b"))
+    more = a.join(b.hint("merge"), meet).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     joined = components(links.union(more)).select(F.col("id").alias("rep"), "component")
 
     # equal sets first, then the component of their class; the hot class is split by the join
-    of_class = classes.join(joined, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = seen.select("id", "s1", "s2", "n_shingles").join(of_class, ["s1", "s2", "n_shingles"], "left")
+    of_class = classes.join(joined.hint("merge"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = seen.select("id", "s1", "s2", "n_shingles").join(of_class.hint("merge"), ["s1", "s2", "n_shingles"], "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
