@@ -24,7 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
         before = state
         edges = materialize(_small_star(_large_star(edges)))
@@ -34,7 +34,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of an id to the smallest of its neighbours and itself."""
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

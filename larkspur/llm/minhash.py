@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     buckets = materialize(members.join(shared.hint("merge"), "bucket"))  # the buckets that hold two classes or more
     wanted = buckets.select("id").distinct()
     texts = docs.join(wanted.hint("merge"), "id", "left_semi")
-    sets = materialize(full_sets(texts, "id", "text").join(seen.select("id", "sig").hint("merge"), "id"))
+    sets = materialize(full_sets(texts, "id", "text").join(seen.select("id", "sig", "bands").hint("merge"), "id"))
 
     # every class meets the smallest one of each of its buckets, then one picked by hash in the buckets still open
     links = confirmed(buckets.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sets)
@@ -183,9 +183,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     left = open_buckets(buckets, components(links))
     head = left.groupBy("bucket").agg(F.min_by("component", F.xxhash64("id", "bucket", F.lit(PICKS))).alias("main"))
     full = left.join(head.hint("merge"), "bucket").join(sets.hint("merge"), "id")
-    a = full.where("component != main").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "sig", "shingles")])
-    b = full.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "sig", "shingles")])
-    meet = (a["bucket"] == b["bucket"]) & (F.col("component_a") != F.col("component_b")) & (estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE) & similar(F.col("shingles_a"), F.col("shingles_b"))
+    columns = ("id", "component", "sig", "bands", "shingles")
+    a = full.where("component != main").select("bucket", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = full.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
+    size_a, size_b = F.size("shingles_a"), F.size("shingles_b")
+    near = (size_a * 100 >= size_b * PERCENT) & (size_b * 100 >= size_a * PERCENT) & (estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE)
+    # a pair with several buckets in common, all open now, is compared in the smallest of them only; main differs by bucket, so both sides count
+    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == a["bucket"]
+    meet = (a["bucket"] == b["bucket"]) & (F.col("component_a") != F.col("component_b")) & near & once & similar(F.col("shingles_a"), F.col("shingles_b"))
     more = a.join(b.hint("merge"), meet).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     joined = components(links.union(more)).select(F.col("id").alias("rep"), "component")
 
@@ -199,3 +204,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The same rows by SQL, with every pair that shares a shingle as a row.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)
+), reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS m FROM reached GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+FROM d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
+"""

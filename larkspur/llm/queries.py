@@ -29,5 +29,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_embedding_join": embedding_join.ORACLE,
+        "op6_substring": substring.ORACLE,
+        "op8_minhash": minhash.ORACLE,
         "op9_warc": warc.ORACLE,
     }

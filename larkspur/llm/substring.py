@@ -263,3 +263,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove passages of 50 words and more that stand in an earlier document, from all documents."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+#: The same rows by SQL, with every window of every document as a row.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS m FROM win) WHERE m < doc_id),
+cut AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS p FROM hit),
+word AS (SELECT doc_id, p, w[p] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN cut USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS c FROM cut GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
