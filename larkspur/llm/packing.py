@@ -8,6 +8,7 @@ no sequence needs padding.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import ChunkEncoder
 from .common import Texts, Words, materialize, slices, table
 from .token_count import text_batches
 
@@ -29,7 +29,7 @@ END_ID = 0
 DIMS, BITS = 4, 12
 #: Ids in one range partition of the curve, about.
 PARTITION_IDS = 4 << 20
-_encoders: dict[str, ChunkEncoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -73,36 +73,63 @@ def curve_keys(texts: Texts) -> np.ndarray:
     return hilbert_keys(points)
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """The worker's encoder for a tokenizer file. Special strings inside texts become their ids, as the library has it."""
-    if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        if any(" " in s for s in special):
-            raise ValueError("a special string holds a space")
+class Encoder:
+    """Ids as the tokenizers library gives them for a byte-level BPE file, by tiktoken's faster merging.
 
-        def many(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for at in range(0, len(texts), 4096) for e in tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+    Both apply the merge of lowest rank first; the file is only taken if its merges are listed by id, so that ids are
+    ranks. Special strings inside texts become their ids, as the library has it.
+    """
 
-        _encoders[path] = ChunkEncoder(many)
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, pre = spec["model"], spec["pre_tokenizer"]
+        if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"] or model.get("ignore_merges"):
+            raise ValueError("only plain byte-level BPE files are covered")
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        byte_of = byte_letters()
+        vocab = {bytes(byte_of[c] for c in token): k for token, k in model["vocab"].items() if token not in special}
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged):
+            raise ValueError("the merges are not in order of id")
+        self.bpe = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocab, special_tokens=special)
+        self.special = set(special)
+        self.ids = np.dtype("<u2" if max([*vocab.values(), *special.values()]) < 1 << 16 else "<u4")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text and the end id, in the smallest type that holds the vocabulary."""
+        return [np.array([*self.bpe.encode(t, allowed_special=self.special, disallowed_special=()), END_ID], dtype=self.ids) for t in texts]
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 as itself, the rest from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def tokenized(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
-    """(key, curve, n_ids, ids) of every document; ids are packed as little-endian 32-bit numbers, the end id last."""
+    """(key, curve, n_ids, ids) of every document; ids are packed as little-endian numbers, the end id last."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = encoder(path)
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        known = encoder(path)
         for batch in batches:
             curve = np.concatenate([curve_keys(t) for t in slices(batch.column(1))] or [np.zeros(0, np.int64)])
             at = 0
             for texts in text_batches(batch.column(1)):
-                ids = [p + end for p in chunks.encode(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(curve[at : at + len(texts)]), pa.array([len(p) // 4 for p in ids], pa.int64()), pa.array(ids, pa.binary())], ["k", "curve", "n_ids", "ids"])
+                ids = known.encode(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(curve[at : at + len(texts)]), pa.array([len(p) for p in ids], pa.int64()), pa.array([p.tobytes() for p in ids], pa.binary())], ["k", "curve", "n_ids", "ids"])
                 at += len(texts)
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, curve long, n_ids long, ids binary")
@@ -131,13 +158,13 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, serial = TaskContext.get().partitionId() << 36, 0
-        held: list[list] = []  # documents not yet packed: key, ids packed of it, ids
+        held: list[list] = []  # documents not yet packed: key, ids already packed, all ids
         size = 0
 
         def out(final: bool) -> pa.RecordBatch:
             nonlocal held, size, serial
             points = cut_points(size) if final else np.arange(0, size // SEQUENCE + 1) * SEQUENCE
-            edges = np.cumsum([0, *(len(d[2]) // 4 - d[1] for d in held)])
+            edges = np.cumsum([0, *(len(d[2]) - d[1] for d in held)])
             starts = np.unique(np.r_[points[:-1], edges[:-1][edges[:-1] < points[-1]]])
             stops = np.r_[starts[1:], points[-1]]
             doc = np.searchsorted(edges, starts, "right") - 1
@@ -145,8 +172,8 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
             skip = np.array([d[1] for d in held], dtype=np.int64)
             begin = starts - edges[doc] + skip[doc]
             length = stops - starts
-            parts = [held[d][2][4 * b : 4 * (b + n)] for d, b, n in zip(doc.tolist(), begin.tolist(), length.tolist(), strict=True)]
-            tokens = np.array([len(d[2]) // 4 for d in held], dtype=np.int64)[doc]
+            parts = [held[d][2][b : b + n].astype("<u4").tobytes() for d, b, n in zip(doc.tolist(), begin.tolist(), length.tolist(), strict=True)]
+            tokens = np.array([len(d[2]) for d in held], dtype=np.int64)[doc]
             got = [pa.array([held[d][0] for d in doc.tolist()], key_type), pa.array(begin), pa.array(length), pa.array(tokens), pa.array(base + serial + sequence), pa.array(starts - points[sequence]), pa.array(parts, pa.binary())]
             serial += len(points) - 1
             rest = size - int(points[-1])
@@ -162,9 +189,10 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
         key_type = None
         for batch in batches:
             key_type = batch.schema.field(0).type
+            kind = encoder(path).ids
             for k, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.append([k, 0, i])
-                size += len(i) // 4
+                held.append([k, 0, np.frombuffer(i, dtype=kind)])
+                size += len(held[-1][2])
                 if size >= step:
                     yield out(False)
         if size:
