@@ -4,7 +4,7 @@ from .catalog import register_sql as q
 
 q("web_count", "SELECT count(*) AS n FROM events")
 q("web_count_filter", "SELECT count(*) AS n FROM events WHERE event_type <> 'click'")
-q("web_multi_aggregate", "SELECT CAST(sum(user_id) AS BIGINT) AS s, count(*) AS n, round(avg(user_id), 6) AS a, min(ts) AS lo, max(ts) AS hi FROM events")
+q("web_multi_aggregate", "SELECT CAST(sum(user_id) AS BIGINT) AS s, count(*) AS n, CAST(sum(user_id) AS DOUBLE) / count(*) AS a, min(ts) AS lo, max(ts) AS hi FROM events")
 q("web_count_distinct", "SELECT count(DISTINCT user_id) AS users, count(DISTINCT event_type) AS types FROM events")
 q("web_top_groups", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
 q("web_top_two_keys", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type ORDER BY n DESC, user_id, event_type LIMIT 10")
@@ -15,13 +15,13 @@ q("web_trunc_minute", "SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP_NTZ) AS
 q("web_point_lookup", "SELECT event_id, user_id FROM events WHERE event_id = 77")
 q("web_like_count", "SELECT count(*) AS n FROM events WHERE props LIKE '%1%'")
 q("web_order_limit", "SELECT event_id, ts FROM events WHERE event_type = 'view' ORDER BY ts, event_id LIMIT 10")
-q("web_having_length", "SELECT lang, round(avg(length(text)), 4) AS l, count(*) AS n FROM documents WHERE text <> '' GROUP BY lang HAVING count(*) > 5")
-q("web_regex_key", "SELECT regexp_replace(url, '^https?://(?:www\\\\.)?([^/]+)/.*$', '$1') AS host, count(*) AS n, round(avg(length(html)), 4) AS l FROM pages GROUP BY 1", r"SELECT regexp_replace(url, '^https?://(?:www\.)?([^/]+)/.*$', '\1') AS host, count(*) AS n, round(avg(length(html)), 4) AS l FROM pages GROUP BY 1")
+q("web_having_length", "SELECT lang, CAST(sum(length(text)) AS DOUBLE) / count(*) AS l, count(*) AS n FROM documents WHERE text <> '' GROUP BY lang HAVING count(*) > 5")
+q("web_regex_key", "SELECT regexp_replace(url, '^https?://(?:www\\\\.)?([^/]+)/.*$', '$1') AS host, count(*) AS n, CAST(sum(length(html)) AS DOUBLE) / count(*) AS l FROM pages GROUP BY 1", r"SELECT regexp_replace(url, '^https?://(?:www\.)?([^/]+)/.*$', '\1') AS host, count(*) AS n, CAST(sum(length(html)) AS DOUBLE) / count(*) AS l FROM pages GROUP BY 1")
 q("web_wide_sums", "SELECT " + ", ".join(f"CAST(sum(user_id + {k}) AS BIGINT) AS s{k}" for k in range(90)) + " FROM events")
 q("web_constant_key", "SELECT 1 AS one, event_type, count(*) AS n FROM events GROUP BY 1, event_type")
 q("web_derived_keys", "SELECT user_id, user_id - 1 AS u1, user_id - 2 AS u2, count(*) AS n FROM events GROUP BY user_id, user_id - 1, user_id - 2 ORDER BY n DESC, user_id LIMIT 10")
 q("web_conjunctive_dates", "SELECT event_type, count(*) AS n FROM events WHERE user_id > 2 AND ts >= TIMESTAMP_NTZ '2024-01-05' AND ts < TIMESTAMP_NTZ '2024-01-20' AND value > 10 GROUP BY event_type", "SELECT event_type, count(*) AS n FROM events WHERE user_id > 2 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' AND value > 10 GROUP BY event_type")
 q("web_case_key", "SELECT CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 'even click' ELSE '' END AS src, count(*) AS n FROM events GROUP BY 1")
 q("web_in_list_hash", "SELECT user_id, count(*) AS n FROM events WHERE event_type IN ('click', 'view') AND user_id IN (1, 3, 6) GROUP BY user_id")
-q("web_group_stats", "SELECT l_suppkey, count(*) AS c, CAST(sum(l_linenumber) AS BIGINT) AS s, round(avg(l_linenumber), 6) AS a FROM lineitem GROUP BY l_suppkey ORDER BY c DESC, l_suppkey LIMIT 10")
+q("web_group_stats", "SELECT l_suppkey, count(*) AS c, CAST(sum(l_linenumber) AS BIGINT) AS s, CAST(sum(l_linenumber) AS DOUBLE) / count(*) AS a FROM lineitem GROUP BY l_suppkey ORDER BY c DESC, l_suppkey LIMIT 10")
 q("web_high_cardinality", "SELECT l_orderkey, l_partkey, count(*) AS c FROM lineitem GROUP BY l_orderkey, l_partkey ORDER BY c DESC, l_orderkey, l_partkey LIMIT 10")
