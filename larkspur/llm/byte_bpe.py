@@ -25,7 +25,10 @@ from .token_count import text_batches
 
 #: White space as Unicode has it, the same in every pattern library.
 WHITE = r"\t-\r \x85\xa0  -     　"
-KEPT = 500_000
+#: Known pattern matches and pairs in one generation of a worker; the last two generations are kept.
+KEPT = 400_000
+#: Known chunks; finding their matches again is cheap.
+KEPT_CHUNKS = 200_000
 _loaded: dict[tuple[str, str], ByteBPE] = {}
 
 
@@ -80,6 +83,7 @@ class ByteBPE:
         self.begins: dict[bytes, int] = {token[:k]: -1 for token in self.usable for k in range(1, len(token))} | self.usable
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _halves(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one, or None for a token that merging never makes."""
@@ -117,19 +121,22 @@ class ByteBPE:
         out = [-1] * (n + 1)
         if last:
             out[: done + 1] = last
-        get, fits = self.begins.get, self.fits
+        begins, fits = self.begins, self.fits
         for j in range(max(0, done - self.longest), n):
             before = out[j] << 32
             for to in range(j + 1, n + 1):
-                token = get(data[j:to])
-                if token is None:
+                part = data[j:to]
+                if part not in begins:
                     break
-                if token >= 0 and to > done and out[to] < 0:
-                    fit = not j or fits.get(before | token)
-                    if fit is None:
-                        fit = self._learn_fit(out[j], token)
-                    if fit:
+                if out[to] < 0 and (token := begins[part]) >= 0:
+                    if not j:
                         out[to] = token
+                    else:
+                        fit = fits.get(before | token)
+                        if fit is None:
+                            fit = self._learn_fit(out[j], token)
+                        if fit:
+                            out[to] = token
         return out
 
     def _learn_fit(self, left: int, right: int) -> bool:
@@ -168,15 +175,15 @@ class ByteBPE:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, one match of the pattern after the other."""
-        known, out = self.known, []
-        if len(known) > KEPT:
-            known.clear()
+        out = []
         for text in texts:
-            parts = []
+            if len(self.known) > KEPT:
+                self.known, self.older = {}, self.known
+            known, parts = self.known, []
             for piece in self.pattern.findall(text):
                 ids = known.get(piece)
                 if ids is None:
-                    ids = self.encode_piece(piece)
+                    ids = self.older.get(piece) or self.encode_piece(piece)
                     if len(piece) < 64:
                         known[piece] = ids
                 parts.append(ids)
@@ -192,7 +199,7 @@ def worker_codec(ranks_path: str, pattern: str) -> tuple[ByteBPE, ChunkEncoder]:
     key = (ranks_path, pattern)
     if key not in _loaded:
         codec = ByteBPE(read_ranks(ranks_path), pattern)
-        _loaded[key] = codec, ChunkEncoder(codec.encode_many)
+        _loaded[key] = codec, ChunkEncoder(codec.encode_many, KEPT_CHUNKS)
     return _loaded[key]
 
 

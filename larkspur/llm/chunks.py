@@ -16,37 +16,27 @@ KEPT = 500_000
 class ChunkEncoder:
     """encode_many gets unknown chunks and returns their ids as little-endian 32-bit bytes; it gets odd texts whole, too."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], kept: int = KEPT):
         self.encode_many = encode_many
-        self.after_space: dict[str, bytes | None] = {}
+        self.kept = kept
+        self.after_space: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.after_space) > KEPT:
+        if len(self.after_space) > self.kept:
             self.after_space.clear()
-        if len(self.first) > KEPT // 10:
+        if len(self.first) > self.kept // 10:
             self.first.clear()
         known, first = self.after_space, self.first
         cut = [t.split(" ") for t in texts]
-        heads = [c[0] for c in cut]
-        new = {w for c in cut for w in c if w not in known}
-        odd = {w for w in new if not w or w[0].isspace()}
-        plain = list(new - odd)
-        known.update(zip(plain, self.encode_many([" " + w for w in plain]), strict=True))
-        known.update(dict.fromkeys(odd))
+        heads = [c.pop(0) for c in cut]
         fresh = list({h for h in heads if h not in first})
         first.update(zip(fresh, self.encode_many(fresh), strict=True))
-        out: list[bytes | None] = []
-        whole = []
-        for k, c in enumerate(cut):
-            c[0] = ""
-            parts = [known[w] for w in c[1:]]
-            if None in parts:
-                whole.append(k)
-                out.append(None)
-            else:
-                out.append(first[heads[k]] + b"".join(parts))
-        if whole:
-            for k, ids in zip(whole, self.encode_many([texts[k] for k in whole]), strict=True):
-                out[k] = ids
-        return out
+        found = [list(map(known.get, c)) for c in cut]
+        new = {k: {w for w, ids in zip(cut[k], parts, strict=True) if ids is None} for k, parts in enumerate(found) if None in parts}
+        odd = {k for k, words in new.items() if any(not w or w[0].isspace() for w in words)}
+        words = list(set().union(*(w for k, w in new.items() if k not in odd)))
+        known.update(zip(words, self.encode_many([" " + w for w in words]), strict=True))
+        whole = sorted(odd)
+        ids_of = dict(zip(whole, self.encode_many([texts[k] for k in whole]), strict=True))
+        return [ids_of[k] if k in odd else first[head] + b"".join(map(known.__getitem__, cut[k]) if k in new else found[k]) for k, head in enumerate(heads)]
