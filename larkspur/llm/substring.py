@@ -103,7 +103,10 @@ def _bytes_of(part, words: Words, k: int) -> list[bytes]:
 
 
 def run_words(candidates: DataFrame, kind: str) -> DataFrame:
-    """(id, first, m, r1, r2, words, hashes) of each candidate run: its word hashes, its windows' hashes, and its name."""
+    """(id, first, firsts, m, r1, r2, words, hashes) of each candidate run: its word hashes, its windows' hashes, and its name.
+
+    A run that a document holds more than once is one row; firsts has all its places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,46 +114,51 @@ def run_words(candidates: DataFrame, kind: str) -> DataFrame:
                 words = Words(part)
                 ids = batch.column(0).slice(part.first, len(part)).to_pylist()
                 wanted = batch.column(2).slice(part.first, len(part)).to_pylist()
-                rows: list[list] = [[] for _ in range(7)]
+                rows: list[list] = [[] for _ in range(8)]
                 for k, spans in enumerate(wanted):
                     own = words.hashes[words.offsets[k] : words.offsets[k + 1]]
                     hashed = window_hashes(own)
-                    for span in spans:
+                    places: dict[tuple, list[int]] = {}
+                    for span in sorted(spans, key=lambda s: s["first"]):
                         h = hashed[span["first"] : span["stop"]]
                         with np.errstate(over="ignore"):
                             names = [int(np.add.reduce(mix(h + np.arange(len(h), dtype=np.uint64) * np.uint64(salt))).view(np.int64)) for salt in (3, 0x9E3779B97F4A7C15)]
-                        for column, value in zip(rows, [ids[k], span["first"], span["m"], *names, own[span["first"] : span["stop"] + WINDOW - 1].tobytes(), h.view(np.int64)], strict=True):
+                        if again := places.get((span["m"], *names)):
+                            again.append(span["first"])
+                            continue
+                        firsts = places[span["m"], *names] = [span["first"]]
+                        for column, value in zip(rows, [ids[k], span["first"], firsts, span["m"], *names, own[span["first"] : span["stop"] + WINDOW - 1].tobytes(), h.view(np.int64)], strict=True):
                             column.append(value)
-                types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                types = [batch.schema.field(0).type, pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 for at in range(0, len(rows[0]), 5000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 5000], t) for c, t in zip(rows, types, strict=True)], ["id", "first", "m", "r1", "r2", "words", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 5000], t) for c, t in zip(rows, types, strict=True)], ["id", "first", "firsts", "m", "r1", "r2", "words", "hashes"])
 
-    return candidates.mapInArrow(run, f"id {kind}, first int, m long, r1 long, r2 long, words binary, hashes array<long>")
+    return candidates.mapInArrow(run, f"id {kind}, first int, firsts array<int>, m long, r1 long, r2 long, words binary, hashes array<long>")
 
 
 def cut_pieces(runs: DataFrame, kind: str) -> DataFrame:
-    """(id, first, m, p1, p2, at, n, words): the stretches of shared windows (places) of each run."""
+    """(id, firsts, m, p1, p2, at, n, words): the stretches of shared windows (places) of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[] for _ in range(8)]
-            for k, first, m, data, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, firsts, m, data, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own, places = np.frombuffer(data, dtype=np.uint64), np.sort(np.array(places, dtype=np.int64))
                 for stretch in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
                     at, n = int(stretch[0]), len(stretch)
                     part = own[at : at + n + WINDOW - 1]
                     with np.errstate(over="ignore"):
                         names = [int(np.add.reduce(mix(part + np.arange(len(part), dtype=np.uint64) * np.uint64(salt))).view(np.int64)) for salt in (3, 0x9E3779B97F4A7C15)]
-                    for column, value in zip(rows, [k, first, m, *names, at, n, part.tobytes()], strict=True):
+                    for column, value in zip(rows, [k, firsts, m, *names, at, n, part.tobytes()], strict=True):
                         column.append(value)
-            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["id", "first", "m", "p1", "p2", "at", "n", "words"])
+            types = [batch.schema.field(0).type, pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["id", "firsts", "m", "p1", "p2", "at", "n", "words"])
 
-    return runs.mapInArrow(run, f"id {kind}, first int, m long, p1 long, p2 long, at int, n int, words binary")
+    return runs.mapInArrow(run, f"id {kind}, firsts array<int>, m long, p1 long, p2 long, at int, n int, words binary")
 
 
 def search_pieces(pieces: DataFrame, kind: str, shards: int) -> DataFrame:
-    """(id, first, at, spans): the window intervals of each piece that also lie in a piece of a smaller id."""
+    """(id, m, p1, p2, spans): the window intervals of each piece that also lie in a piece of a smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -164,22 +172,22 @@ def search_pieces(pieces: DataFrame, kind: str, shards: int) -> DataFrame:
             index = FMIndex(np.concatenate(data), np.array([len(d) for d in data], dtype=np.int64), owners)
             found = index.matches(owners, WINDOW)
             spans = pa.array([[{"a": a, "b": b} for a, b in f] for f in found], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], id_type), pa.array([h[1] for h in held], pa.int32()), pa.array([h[2] for h in held], pa.int32()), spans], ["id", "first", "at", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], id_type), *(pa.array([h[c] for h in held], pa.int64()) for c in (1, 2, 3)), spans], ["id", "m", "p1", "p2", "spans"])
 
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > INDEX_WORDS and row[3] != last:  # pieces of one minimum stay in one index
+                if size > INDEX_WORDS and row[1] != last:  # pieces of one minimum stay in one index
                     yield search()
                     held, size = [], 0
                 held.append(row)
-                last = row[3]
+                last = row[1]
                 size += len(row[4]) // 8
         if held:
             yield search()
 
-    return pieces.repartition(shards, "m").sortWithinPartitions("m").select("id", "first", "at", "m", "words").mapInArrow(run, f"id {kind}, first int, at int, spans array<struct<a:int,b:int>>")
+    return pieces.repartition(shards, "m").sortWithinPartitions("m").select("id", "m", "p1", "p2", "words").mapInArrow(run, f"id {kind}, m long, p1 long, p2 long, spans array<struct<a:int,b:int>>")
 
 
 def cut_texts(found: DataFrame, kind: str) -> DataFrame:
@@ -227,24 +235,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     equal = materialize(found.groupBy("m", "r1", "r2").agg(F.min(F.struct("id", "first")).alias("rep"), F.max("id").alias("last")))
     heads = equal.select("rep.id", "rep.first", "last")
-    single = materialize(found.join(heads, ["id", "first"]).select("id", "first", "m", "words", "hashes", "last"))
+    single = materialize(found.join(heads, ["id", "first"]).select("id", "first", "firsts", "m", "words", "hashes", "last"))
     windows = single.select("id", "first", "last", F.posexplode("hashes").alias("place", "h"))
     shared = windows.groupBy("h").agg(F.min("id").alias("a"), F.max("last").alias("b")).where("a < b").select("h")
     places = windows.join(shared, "h").groupBy("id", "first").agg(F.collect_list("place").alias("places"))
-    pieces = materialize(cut_pieces(single.join(places, ["id", "first"]).select("id", "first", "m", "words", "places"), kind))
+    pieces = materialize(cut_pieces(single.join(places, ["id", "first"]).select("id", "firsts", "m", "words", "places"), kind))
 
-    piece_heads = materialize(pieces.groupBy("m", "p1", "p2").agg(F.min(F.struct("id", "first", "at")).alias("rep"), F.first(F.octet_length("words")).alias("size")))
+    piece_heads = materialize(pieces.groupBy("m", "p1", "p2").agg(F.min(F.struct(F.col("id"), F.col("firsts")[0].alias("first"), F.col("at"))).alias("rep"), F.first(F.octet_length("words")).alias("size")))
     total = piece_heads.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // 8
-    place = ["id", "first", "at"]
-    heads = pieces.join(piece_heads.select("rep.id", "rep.first", "rep.at"), place, "left_semi")
+    heads = pieces.withColumn("first", F.col("firsts")[0]).join(piece_heads.select("rep.id", "rep.first", "rep.at"), ["id", "first", "at"], "left_semi")
     searched = materialize(search_pieces(heads, kind, max(1, -(-total // SHARD_WORDS))))
 
-    # a piece that is not its class's first one lies in an earlier document as a whole
+    # a piece whose class's first one is in another document lies in an earlier document as a whole; one of the same
+    # document has the intervals of the first one
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    of_piece = pieces.join(searched, place, "left").select("id", "first", F.col("at").alias("shift"), F.explode(F.coalesce("spans", whole)).alias("s"))
-    of_heads = of_piece.select("id", (F.col("first") + F.col("shift") + F.col("s.a")).alias("a"), (F.col("first") + F.col("shift") + F.col("s.b")).alias("b"))
-    # so does a run that is not its class's first one
-    of_runs = found.join(equal.select("rep.id", "rep.first"), ["id", "first"], "left_anti").select("id", F.col("first").alias("a"), (F.col("first") + F.size("hashes")).alias("b"))
+    of_piece = pieces.join(searched, ["id", "m", "p1", "p2"], "left").select("id", "firsts", F.col("at").alias("shift"), F.explode(F.coalesce("spans", whole)).alias("s"))
+    of_heads = of_piece.select("id", F.explode("firsts").alias("first"), "shift", "s").select("id", (F.col("first") + F.col("shift") + F.col("s.a")).alias("a"), (F.col("first") + F.col("shift") + F.col("s.b")).alias("b"))
+    # a run that is not its class's first one lies in an earlier document as a whole, as a document has one row of a class
+    of_runs = found.join(equal.select("rep.id", "rep.first"), ["id", "first"], "left_anti").select("id", F.explode("firsts").alias("a"), F.size("hashes").alias("n")).select("id", "a", (F.col("a") + F.col("n")).alias("b"))
     spans = of_heads.union(of_runs).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     cut = materialize(cut_texts(candidates.select("id", "text").join(spans, "id"), kind))
 

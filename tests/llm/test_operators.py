@@ -245,6 +245,35 @@ def test_substring(docs, empty):
     assert substring.remove_repeats(empty).collect() == []
 
 
+def plain_repeats(by_id):
+    """(n_words, n_removed, kept_sha256) of each text by every window."""
+    seen, want = {}, {}
+    for k, t in sorted(by_id.items()):
+        w, cut = WORD.findall(t), set()
+        for i in range(len(w) - 49):
+            if seen.setdefault(tuple(w[i : i + 50]), k) < k:
+                cut.update(range(i, i + 50))
+        want[k] = (len(w), len(cut), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in cut).encode()).hexdigest())
+    return want
+
+
+def test_substring_repeats_inside_one_document(spark):
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    own, late, part = fresh(150), fresh(120), fresh(90)
+    rows = {
+        1: fresh(30) + own + fresh(40) + own + fresh(20) + own,  # the smallest holder repeats it
+        2: fresh(25) + own + fresh(35) + late + fresh(60) + late + part,
+        3: own + fresh(20) + own + late + fresh(10) + late + part[:70] + fresh(9) + part + fresh(5) + part[10:],
+        4: fresh(70) + part[20:] + fresh(80) + part[20:] + fresh(3) + own[40:] + own[40:],
+    }
+    texts_of = {k: " ".join(w) for k, w in rows.items()}
+    want = plain_repeats(texts_of)
+    assert want[1][1] == 0 and want[2][1] == 150
+    got = substring.remove_repeats(spark.createDataFrame(sorted(texts_of.items()), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got} == want
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     words = [f"w{k}" for k in range(300)]
