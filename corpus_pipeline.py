@@ -31,10 +31,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near-duplicates."""
+    """Keep the document of smallest id of each group of near-duplicates, and every document with a null id."""
     docs = docs.select(*COLUMNS)
-    kept = materialize(minhash.near_duplicates(docs).where("kept").select("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi")
+    dropped = materialize(minhash.near_duplicates(docs).where("NOT kept").select("doc_id"))
+    return docs.join(dropped, "doc_id", "left_anti")
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,12 @@ def test_empty_and_null_documents(spark):
     for rows in (docs, docs.where("false")):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, rows, SF).collect()
+
+
+def test_near_duplicates_keep_null_ids(spark):
+    text = " ".join(f"word{k}" for k in range(80))
+    other = " ".join(f"term{k}" for k in range(80))
+    rows = [(1, text), (2, text), (3, other), (None, text), (None, "a few other words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, text), (3, other), (None, text), (None, "a few other words"), (None, None)], key=str)
