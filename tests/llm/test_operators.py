@@ -351,6 +351,15 @@ def test_template_tells_constant_nodes():
     assert html_text.extract("<body><div><p>Same line</p><section>and a new own text</section></div></body>", one) == "and a new own text"
 
 
+def test_full_template_still_counts_pages(monkeypatch):
+    monkeypatch.setattr(html_text, "TEMPLATE_NODES", 3)
+    state = lambda page: html_text.zlib.compress(html_text.pickle.dumps(html_text.page_template(page).state()), 1)
+    pages = [f"<body><div><p>{'Old' if k < 2 else 'New'} line</p><h2>the own and longer text of page {k}</h2></div></body>" for k in range(20)]
+    one = html_text.Slot.of(html_text.pickle.loads(html_text.zlib.decompress(html_text.merge_templates([state(p) for p in pages]))))
+    assert one.pages == one.kids[0].kids[0].kids[0].pages == 20
+    assert html_text.extract(pages[5], one) == "the own and longer text of page 5"
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
