@@ -47,3 +47,13 @@ def test_query(spark, duck, name):
     names = found.columns
     assert sorted(names) == columns
     assert rows == sorted([norm(dict(zip(names, r, strict=True))[c]) for c in columns] for r in found.fetchall())
+
+
+def test_estimate_distinct_counts_the_table(spark):
+    estimates = []
+    for scale, rows in (("sf0.001", 1500), ("sf0.1", 150000)):
+        r = catalog.queries()["stats_estimate_distinct"](spark, f"/root/testdata/{scale}").first()
+        extra = r["f1"] * r["n"] / (r["n"] - r["f1"]) if r["n"] > r["f1"] > 0 else 0
+        assert abs(r["estimate"] - (r["d"] + extra) * rows / r["n"]) < 1e-4
+        estimates.append(r["estimate"])
+    print(estimates)
