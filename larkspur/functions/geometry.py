@@ -34,3 +34,29 @@ def path_length(points: Column) -> Column:
     """Length of an open path; fewer than two points have none."""
     steps = F.zip_with(F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), distance)
     return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
+
+
+def segment(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
+def segment_length(s: Column) -> Column:
+    return distance(s["a"], s["b"])
+
+
+def circle(centre: Column, radius: Column) -> Column:
+    return F.struct(centre.alias("centre"), radius.cast("double").alias("radius"))
+
+
+def circle_radius(c: Column) -> Column:
+    return c["radius"]
+
+
+def count_points(points: Column) -> Column:
+    """How many points a path or polygon has."""
+    return F.size(points)
+
+
+def polygon_length(points: Column) -> Column:
+    """Length of a closed path."""
+    return path_length(F.concat(points, F.slice(points, 1, 1)))

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def strict(function: Callable[..., Column], *args: Column) -> Column:
@@ -28,10 +26,27 @@ def create_function(spark: SparkSession, name: str, arguments: str, returns: str
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")
 
 
-@F.pandas_udf(T.DoubleType())
-def geometric_mean(values: pd.Series) -> float:
-    """An aggregate over Arrow batches; values of 0 and less and NULLs are passed over."""
-    import numpy as np
+def create_table_function(spark: SparkSession, name: str, arguments: str, returns: str, query: str) -> None:
+    """CREATE FUNCTION that returns a set of rows, by a query over its arguments."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE ({returns}) RETURN {query}")
 
-    v = values[values > 0]
-    return float(np.exp(np.log(v).mean())) if len(v) else float("nan")
+
+def in_domain(value: Column, kind: str, check: Callable[[Column], Column], not_null: bool = False) -> Column:
+    """A value of a domain: cast to its type. A value that the domain's CHECK rejects, or a NULL where it has none, is an error."""
+    cast = value.cast(kind)
+    bad = ~F.coalesce(check(cast), F.lit(True))
+    if not_null:
+        bad = bad | cast.isNull()
+    return F.when(bad, F.raise_error(F.concat(F.lit("no value of the domain: "), F.coalesce(value.cast("string"), F.lit("NULL")))).cast(kind)).otherwise(cast)
+
+
+def aggregate(states: dict[str, Column], final: Callable[..., Column]) -> Column:
+    """A user-defined aggregate: the final function of built-in aggregates, which Spark combines before the shuffle."""
+    return final(*states.values())
+
+
+def geometric_mean(column: str) -> Column:
+    """The geometric mean of the values above 0; NULL without any."""
+    x = F.col(column)
+    logs = F.when(x > 0, F.ln(x))
+    return aggregate({"sum": F.sum(logs), "n": F.count(logs)}, lambda s, n: F.exp(s / F.nullif(n, F.lit(0))))

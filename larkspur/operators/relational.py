@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_dir
+
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key by order, which should break ties."""
+    """The first row of each key by order, which should break ties. Spark keeps one row a key and task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
@@ -37,23 +39,58 @@ def project_set(df: DataFrame, **arrays: Column) -> DataFrame:
     return df.select("*", F.explode(zipped).alias("_z")).select(*df.columns, *[F.col("_z").getField(k).alias(k) for k in arrays])
 
 
-def recursive_distinct(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
+def recursive_distinct(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
     """WITH RECURSIVE … UNION: apply step to the new rows until none is new. Rows are compared as a whole, NULLs as equal.
 
-    Each round is written to the folder of spark.checkpoint.dir, which cuts the lineage; only a count reaches the driver.
+    Each round is written to the folder of spark.checkpoint.dir, which cuts the lineage; only a count reaches the driver. The
+    rounds seen are packed into one table whenever their number doubles the plan. most: rounds after which it is an error to
+    go on; without it the recursion runs to its end.
     """
-    context = seed.sparkSession.sparkContext
-    if not seed.sparkSession.conf.get("spark.checkpoint.dir", None) and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
+    shared_dir(seed.sparkSession)
     new = seed.distinct().checkpoint()
-    seen = new
-    for _ in range(most):
+    seen, tables, rounds = new, 1, 0
+    while True:
+        if rounds == most:
+            raise RuntimeError(f"the recursion did not end after {most} rounds")
+        rounds += 1
         found = step(new).distinct()
         new = found.join(seen, [found[c].eqNullSafe(seen[c]) for c in seed.columns], "left_anti").checkpoint()
         if new.isEmpty():
             return seen
-        seen = seen.union(new)
-    raise RuntimeError(f"the recursion did not end after {most} rounds")
+        seen, tables = seen.union(new), tables + 1
+        if tables == 8:
+            seen, tables = seen.checkpoint(), 1
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """df computed once for all of its uses, in the folder of spark.checkpoint.dir."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def sample_by_key(df: DataFrame, key: str, share: float) -> DataFrame:
+    """A share of the rows, to a thousandth, the same at each run: those whose key's multiple falls low. NULL keys are left out."""
+    return df.where(F.pmod(F.col(key) * 7919, F.lit(1000)) < round(share * 1000))
+
+
+def rollup_sets(*keys: str) -> list[tuple[str, ...]]:
+    """The key sets of ROLLUP: all keys, then each time one less."""
+    return [keys[:k] for k in range(len(keys), -1, -1)]
+
+
+def crossed_sets(*lists: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """The key sets of several grouping clauses side by side, each once, as GROUP BY DISTINCT has them."""
+    out: dict[frozenset, tuple[str, ...]] = {}
+    for chosen in product(*lists):
+        keys = tuple(dict.fromkeys(k for s in chosen for k in s))
+        out.setdefault(frozenset(keys), keys)
+    return list(out.values())
+
+
+def group_by_sets(df: DataFrame, sets: Sequence[tuple[str, ...]], *aggregates: Column) -> DataFrame:
+    """Aggregates by each of some key sets; keys that a set lacks are NULL."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    return df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(*aggregates)
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

@@ -41,7 +41,7 @@ def register_sql(name: str, spark_text: str, duck_text: str | None = None) -> No
 
 
 def _load() -> None:
-    from . import analytics, functions, relational, search, sql, statistics  # noqa: F401
+    from . import analytics, functions, programs, relational, search, sql, statistics, temporal, types  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

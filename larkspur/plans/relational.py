@@ -1,12 +1,12 @@
 """Relational queries by the DataFrame API."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import user
+from ..operators import ordered as O
 from ..operators import relational as R
 from ..sources import files
 from ..streaming import windows
@@ -101,14 +101,8 @@ def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").where(~F.coalesce(F.col("p_size") > 40, F.lit(False))).select("p_partkey")
 
 
-@register("dml_constraints", "SELECT p_partkey, p_size FROM part")
-def dml_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.check_rows(load(spark, sf_dir, "part"), ("p_partkey",), "p_size >= 0").select("p_partkey", "p_size")
-
-
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{files.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @register("copy_round_trip", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS c_name, c_acctbal FROM customer")
@@ -164,34 +158,12 @@ def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.hourly_counts(load(spark, sf_dir, "events"))
 
 
-@register("procedural_script", "SELECT CAST(55 AS INTEGER) AS total")
-def procedural_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variables, a loop, a condition and a result, as an SQL script."""
-    return spark.sql(
-        """BEGIN
-             DECLARE i INT DEFAULT 0;
-             DECLARE total INT DEFAULT 0;
-             WHILE i < 100 DO
-               SET i = i + 1;
-               IF i <= 10 THEN SET total = total + i; END IF;
-             END WHILE;
-             SELECT total AS total;
-           END"""
-    )
-
-
 @register("explain_formatted")
 def explain_formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
     return spark.sql("EXPLAIN FORMATTED SELECT o_custkey, count(*) FROM orders WHERE o_totalprice > 10 GROUP BY o_custkey")
 
 
-@register("sample_rows")
-def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A repeatable tenth of the rows, by a hash of the key."""
-    return load(spark, sf_dir, "orders").where(F.pmod(F.xxhash64("o_orderkey"), F.lit(10)) == 0).select("o_orderkey")
-
-
 @register("collate_case_insensitive", "SELECT lower(n_name) AS k, count(*) AS n FROM (SELECT n_name FROM nation UNION ALL SELECT lower(n_name) FROM nation) GROUP BY 1")
 def collate_case_insensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = load(spark, sf_dir, "nation").select("n_name")
@@ -199,8 +171,95 @@ def collate_case_insensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(F.collate("n_name", "UTF8_LCASE").alias("c")).agg(F.count("*").alias("n")).select(F.lower(F.collate("c", "UTF8_BINARY")).alias("k"), "n")
 
 
-@register("bloom_membership", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
-def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A membership test as a semi join, which Spark thins by a runtime Bloom filter where that pays."""
-    keys = load(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
-    return load(spark, sf_dir, "orders").join(keys, "o_custkey", "left_semi").select("o_orderkey")
+@register("sample_rows", "SELECT o_orderkey FROM orders WHERE o_orderkey * 7919 % 1000 < 100")
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeatable tenth of the rows, dealt by a multiple of the key; sampling is the feature."""
+    return R.sample_by_key(load(spark, sf_dir, "orders"), "o_orderkey", 0.1).select("o_orderkey")
+
+
+@register("copy_binary", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS c_name, c_acctbal, encode(c_mktsegment) AS b FROM customer WHERE c_acctbal > 0")
+def copy_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """COPY (query) TO in binary form and FROM it: types, NULLs and bytes come back as they were."""
+    out = load(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_name")).alias("c_name"), "c_acctbal", F.encode("c_mktsegment", "UTF-8").alias("b"))
+    return files.copy_from(spark, files.copy_to(out, _folder(spark, "copy"), binary=True), out.schema, binary=True)
+
+
+@register("subquery_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def subquery_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOT IN as an anti join by key and a count of NULLs, where Spark's own plan would broadcast the orders."""
+    return R.not_in(load(spark, sf_dir, "customer"), "c_custkey", load(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), "o_custkey").select("c_custkey")
+
+
+@register("limit_offset_only", "SELECT count(*) AS n FROM (SELECT o_orderkey FROM orders OFFSET 40)")
+def limit_offset_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.offset_rows(load(spark, sf_dir, "orders").select("o_orderkey"), 40).agg(F.count("*").alias("n"))
+
+
+@register("fetch_first_rows", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 12 OFFSET 3")
+def fetch_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.fetch_first(load(spark, sf_dir, "part"), 12, [F.desc_nulls_last("p_retailprice"), F.asc("p_partkey")], offset=3).select("p_partkey", "p_retailprice")
+
+
+@register("merge_append", "SELECT k, src FROM (SELECT n_nationkey AS k, 'n' AS src FROM nation UNION ALL SELECT s_suppkey, 's' FROM supplier) ORDER BY k, src")
+def merge_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.lit("n").alias("src"))
+    b = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("s").alias("src"))
+    return O.merge_sorted([a, b], [F.asc_nulls_last("k"), F.asc("src")])
+
+
+@register("cte_materialized", "WITH t AS MATERIALIZED (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), u AS NOT MATERIALIZED (SELECT k FROM t WHERE n > 5) SELECT t.k, t.n, (SELECT max(n) FROM t) AS most FROM t JOIN u USING (k)")
+def cte_materialized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table expression that is computed once for all of its uses; others are planned where they stand."""
+    t = R.materialized(load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n")))
+    most = t.agg(F.max("n").alias("most"))
+    return t.join(t.where("n > 5").select("k"), "k").join(F.broadcast(most)).select("k", "n", "most")  # one row
+
+
+@register("agg_group_by_distinct", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), (o_orderpriority), ())")
+def agg_group_by_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GROUP BY DISTINCT ROLLUP (status, priority), ROLLUP (priority): each set of keys once."""
+    sets = R.crossed_sets(R.rollup_sets("o_orderstatus", "o_orderpriority"), R.rollup_sets("o_orderpriority"))
+    return R.group_by_sets(load(spark, sf_dir, "orders"), sets, F.count("*").alias("n")).select("o_orderstatus", "o_orderpriority", "n")
+
+
+@register("agg_mode", "SELECT p_size AS mode FROM part GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1")
+def agg_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.mode(load(spark, sf_dir, "part"), [], "p_size")
+
+
+@register("agg_percentile_disc", "SELECT l_returnflag, quantile_disc(l_quantity, 0.25) AS q1, quantile_disc(l_quantity, 0.9) AS q9 FROM lineitem GROUP BY l_returnflag")
+def agg_percentile_disc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.percentiles(load(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", {"q1": (0.25, False), "q9": (0.9, False)})
+
+
+@register("agg_percentile_array", "SELECT l_returnflag, quantile_disc(l_linenumber, [0.1, 0.5, 1.0]) AS qs FROM lineitem GROUP BY l_returnflag")
+def agg_percentile_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A discrete percentile for each of several shares, as an array."""
+    shares = (0.1, 0.5, 1.0)
+    out = O.percentiles(load(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linenumber", {str(k): (s, False) for k, s in enumerate(shares)})
+    return out.select("l_returnflag", F.array(*[F.col(str(k)) for k in range(len(shares))]).alias("qs"))
+
+
+@register("agg_percentile_cont", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS med FROM lineitem GROUP BY l_returnflag")
+def agg_percentile_cont(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.percentiles(load(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"med": (0.5, True)}).withColumn("med", F.round("med", 4))
+
+
+@register("window_rank_few_keys", "SELECT o_orderkey, rank() OVER w AS rk, dense_rank() OVER w AS dr FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate)")
+def window_rank_few_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks within three keys, from counts; no task sorts the rows of a key."""
+    return O.ranks(load(spark, sf_dir, "orders"), ["o_orderstatus"], "o_orderdate", "rk", "dr").select("o_orderkey", "rk", "dr")
+
+
+@register("window_running_few_keys", "SELECT o_orderkey, CAST(sum(o_custkey) OVER w AS BIGINT) AS s, count(*) OVER w AS n FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def window_running_few_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums within five keys, by ranges of the order."""
+    out = O.running_total(load(spark, sf_dir, "orders"), ["o_orderpriority"], ["o_orderkey"], s=F.col("o_custkey"), n=F.lit(1))
+    return out.select("o_orderkey", "s", F.col("n").cast("long").alias("n"))
+
+
+@register("window_sliding_few_keys", "SELECT o_orderkey, CAST(sum(o_custkey) OVER w AS BIGINT) AS s, max(o_totalprice) OVER w AS hi FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
+def window_sliding_few_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding frames within three keys, by runs of rows that overlap by the frame."""
+    out = O.sliding_rows(load(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderkey"], 2, 1, s=F.sum("o_custkey"), hi=F.max("o_totalprice"))
+    return out.select("o_orderkey", "s", "hi")

@@ -9,7 +9,7 @@ q("scan_range_lookup", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_or
 q("values_scan", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS v(id, val)")
 q("result_one_row", "SELECT 1 + 2 AS three, 'x' AS label")
 q("series_scan", "SELECT CAST(id AS BIGINT) AS n, CAST(id * id AS BIGINT) AS sq FROM range(1, 101) AS t(id)", "SELECT CAST(range AS BIGINT) AS n, CAST(range * range AS BIGINT) AS sq FROM range(1, 101)")
-q("series_null_bounds", "SELECT explode(sequence(1, CAST(NULL AS INT))) AS n", "SELECT CAST(x AS INTEGER) AS n FROM (SELECT unnest(CAST(NULL AS INTEGER[])) AS x)")
+q("series_null_bounds", "SELECT n_nationkey, explode(sequence(1, CASE WHEN n_regionkey <> 2 THEN n_regionkey + 1 END)) AS n FROM nation", "SELECT n_nationkey, CAST(unnest(range(1, CASE WHEN n_regionkey <> 2 THEN n_regionkey + 2 END)) AS INTEGER) AS n FROM nation")
 q("subquery_scan", "SELECT status, n FROM (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus) t WHERE n > 10")
 q("predicate_compare", "SELECT c_custkey, c_acctbal > 0 AS pos, c_acctbal <> 0 AS nz, c_mktsegment <= 'F' AS low, c_nationkey = 3 AS n3 FROM customer")
 q("predicate_arithmetic", "SELECT p_partkey, p_size + 1 AS a, p_size - 3 AS b, p_size * 2 AS c, p_size DIV 7 AS d, p_size % 7 AS e, -p_size AS f FROM part", "SELECT p_partkey, p_size + 1 AS a, p_size - 3 AS b, p_size * 2 AS c, CAST(p_size // 7 AS BIGINT) AS d, p_size % 7 AS e, -p_size AS f FROM part")
@@ -26,18 +26,18 @@ q("expr_case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHE
 q("expr_coalesce_nullif", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_name END, 'none') AS a, nullif(c_nationkey, 3) AS b, greatest(c_nationkey, 10, NULL) AS g, least(c_nationkey, 10) AS l FROM customer")
 q("expr_cast", "SELECT p_partkey, CAST(p_size AS STRING) AS s, CAST(trunc_price AS BIGINT) AS b, CAST('42' AS INT) AS i, CAST(p_size AS DOUBLE) AS d, CAST('2024-02-29' AS DATE) AS dt, CAST(p_size > 10 AS INT) AS bi FROM (SELECT *, floor(p_retailprice) AS trunc_price FROM part) t", "SELECT p_partkey, CAST(p_size AS VARCHAR) AS s, CAST(floor(p_retailprice) AS BIGINT) AS b, CAST('42' AS INTEGER) AS i, CAST(p_size AS DOUBLE) AS d, CAST('2024-02-29' AS DATE) AS dt, CAST(p_size > 10 AS INTEGER) AS bi FROM part")
 q("expr_array_row", "SELECT p_partkey, array(p_size, 1, 2)[0] AS first_el, slice(array(p_size, 1, 2), 2, 2)[1] AS last_el, struct(p_size AS a, p_brand AS b).b AS field FROM part", "SELECT p_partkey, [p_size, 1, 2][1] AS first_el, [p_size, 1, 2][2:3][2] AS last_el, {'a': p_size, 'b': p_brand}.b AS field FROM part")
-q("filter_row_security", "WITH visible AS (SELECT * FROM customer WHERE c_nationkey < 10) SELECT c_custkey, c_name FROM visible WHERE c_acctbal > 100")
+q("predicate_truth_tests", "WITH t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 2 = 0 END AS a FROM customer) SELECT k, a IS TRUE AS t, a IS NOT TRUE AS nt, a IS FALSE AS f, a IS NOT FALSE AS nf, a IS UNKNOWN AS u, a IS NOT UNKNOWN AS nu FROM t", "WITH t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 2 = 0 END AS a FROM customer) SELECT k, a IS TRUE AS t, a IS NOT TRUE AS nt, a IS FALSE AS f, a IS NOT FALSE AS nf, a IS NULL AS u, a IS NOT NULL AS nu FROM t")
 
 # joins
 q("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'")
 q("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON c_custkey = o_custkey")
 q("join_right", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'P') o RIGHT JOIN customer ON c_custkey = o_custkey")
-q("join_full", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s FULL JOIN (SELECT * FROM customer WHERE c_custkey <= 60) c ON s_suppkey = c_custkey + 30")
+q("join_full", "SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_acctbal > 0) s FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON s_suppkey = c_custkey + 30")
 q("join_semi", "SELECT c_custkey FROM customer LEFT SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 q("join_anti_null_keys", "WITH c AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END AS k, c_name FROM customer) SELECT k, c_name FROM c LEFT ANTI JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON k = o_custkey", "WITH c AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END AS k, c_name FROM customer) SELECT k, c_name FROM c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P' AND k = o_custkey)")
 q("join_theta", "SELECT r.r_regionkey AS a, n.n_nationkey AS b FROM region r JOIN nation n ON n.n_nationkey > r.r_regionkey * 5")
 q("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
-q("join_comma_residual", "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE s_nationkey = c_nationkey AND s_acctbal < c_acctbal AND c_custkey < 200")
+q("join_comma_residual", "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE s_nationkey = c_nationkey AND s_acctbal < c_acctbal")
 q("join_using", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y USING (k)")
 q("join_natural", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y")
 q("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -61,9 +61,6 @@ q("agg_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(g
 q("agg_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 q("agg_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 q("agg_group_only", "SELECT c_mktsegment FROM customer GROUP BY c_mktsegment")
-q("agg_mode", "SELECT m AS mode_size FROM (SELECT mode() WITHIN GROUP (ORDER BY p_size) AS m FROM part)", "SELECT p_size AS mode_size FROM part GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1")
-q("agg_percentile_disc", "SELECT l_returnflag, percentile_disc(0.25) WITHIN GROUP (ORDER BY l_quantity) AS q1, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity) AS q9 FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_disc(l_quantity, 0.25) AS q1, quantile_disc(l_quantity, 0.9) AS q9 FROM lineitem GROUP BY l_returnflag")
-q("agg_percentile_cont", "SELECT l_returnflag, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS med FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS med FROM lineitem GROUP BY l_returnflag")
 q("agg_decimal_avg", "SELECT l_returnflag, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*), 6) AS a FROM lineitem GROUP BY l_returnflag")
 q("agg_bool", "SELECT o_orderstatus, bool_and(o_totalprice > 0) AS every_pos, bool_or(o_totalprice > 400000) AS any_big FROM orders GROUP BY o_orderstatus")
 
@@ -79,9 +76,9 @@ q("window_null_partition", "SELECT c_custkey, count(*) OVER (PARTITION BY CASE W
 q("window_distribution", "SELECT p_partkey, CAST(ntile(4) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS nt, round(percent_rank() OVER (PARTITION BY p_brand ORDER BY p_size), 8) AS pr, round(cume_dist() OVER (PARTITION BY p_brand ORDER BY p_size), 8) AS cd FROM part")
 
 # sort, limit, distinct
-q("sort_nulls_last", "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) t ORDER BY v DESC NULLS LAST, k ASC NULLS LAST LIMIT 50")
-q("sort_nulls_first", "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) t ORDER BY v ASC NULLS FIRST, k LIMIT 60")
-q("sort_alias_ordinal", "SELECT p_partkey, p_size * 2 AS twice FROM part ORDER BY twice DESC, 1 LIMIT 20")
+q("sort_nulls_last", "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) t ORDER BY v DESC NULLS LAST, k ASC NULLS LAST")
+q("sort_nulls_first", "SELECT k, v FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS v FROM customer) t ORDER BY v ASC NULLS FIRST, k")
+q("sort_alias_ordinal", "SELECT p_partkey, p_size * 2 AS twice FROM part ORDER BY twice DESC, 1")
 q("topn_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 5")
 q("limit_plain_count", "SELECT count(*) AS n FROM (SELECT 1 FROM orders LIMIT 17) t")
 q("select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
@@ -89,21 +86,20 @@ q("select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders
 # set operations
 q("setop_union_all", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
 q("setop_union", "SELECT n_regionkey AS k FROM nation UNION SELECT s_nationkey FROM supplier")
-q("setop_intersect", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_custkey < 100")
-q("setop_intersect_all", "SELECT s_nationkey AS k FROM supplier INTERSECT ALL SELECT c_nationkey FROM customer WHERE c_custkey < 100")
-q("setop_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 10")
-q("setop_except_all", "SELECT s_nationkey AS k FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer WHERE c_custkey < 40")
+q("setop_intersect", "SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9000")
+q("setop_intersect_all", "SELECT s_nationkey AS k FROM supplier INTERSECT ALL SELECT c_nationkey FROM customer")
+q("setop_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+q("setop_except_all", "SELECT s_nationkey AS k FROM supplier EXCEPT ALL SELECT n_nationkey FROM nation")
 q("setop_nulls_equal", "SELECT CASE WHEN n_nationkey < 5 THEN NULL ELSE n_nationkey END AS k FROM nation INTERSECT SELECT CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE s_nationkey END FROM supplier")
-q("setop_mixed_types", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION SELECT CAST(s_suppkey AS BIGINT) FROM supplier WHERE s_suppkey < 40")
+q("setop_mixed_types", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION SELECT s_suppkey FROM supplier")
 
 # CTEs, subqueries
 q("cte_chained", "WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT n, count(*) AS m FROM a GROUP BY n) SELECT n, m FROM b WHERE m > 1")
 q("cte_column_names", "WITH t(a, b) AS (SELECT n_nationkey, n_name FROM nation) SELECT a, b FROM t WHERE a > 3")
 q("cte_recursive_all", "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
 q("subquery_in", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
-q("subquery_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 q("subquery_exists", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9000)")
-q("subquery_not_exists", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9500)")
+q("subquery_not_exists", "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9950)")
 q("subquery_scalar", "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT max(s_acctbal) - 500 FROM supplier)")
 q("subquery_correlated", "SELECT p_partkey, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS n FROM part")
 q("subquery_lateral", "SELECT n_name, x.twice FROM nation, LATERAL (SELECT n_nationkey * 2 AS twice) x")

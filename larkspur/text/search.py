@@ -1,13 +1,15 @@
 """Search vectors, queries, matching, ranking and headlines as column expressions.
 
 A search vector is an array of (lexeme, positions) structs in order of lexeme. Queries are parsed on the driver and compiled
-to expressions, so matching runs in the JVM. Only stemming needs Python, and it sees distinct words only.
+to expressions, so matching runs in the JVM, on the words that a query names. Only stemming needs Python. Nothing here shuffles
+a text: a document's vector is made of its row alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,7 @@ STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such that "
     "the their then there these they this to was will with i you he she we his her its"
 ).split()
+# fixed values: plain suffixes and what takes their place
 SUFFIXES = (("ies", "y"), ("es", ""), ("s", ""), ("ed", ""), ("ing", ""), ("ly", ""))
 
 
@@ -31,9 +34,46 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(f"({WORD})"), F.lit(1))
 
 
-@F.pandas_udf(T.StringType())
-def stem_udf(words: pd.Series) -> pd.Series:
-    return words.map(porter, na_action="ignore")
+VECTOR = T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
+
+
+@lru_cache(maxsize=200_000)
+def lexeme_of(word: str, config: str) -> str | None:
+    """A word's lexeme: english has none for stop words and stems the others, simple strips a plain suffix."""
+    if config == "english":
+        return None if word in STOP_WORDS else porter(word)
+    for suffix, put in SUFFIXES:
+        if word.endswith(suffix) and len(word) > len(suffix):
+            return word[: -len(suffix)] + put
+    return word
+
+
+def vector(text: Column, config: str = "english") -> Column:
+    """The search vector of a text, empty without lexemes: words come in Arrow batches, known ones with their lexeme."""
+
+    @F.pandas_udf(VECTOR)
+    def of_words(words: pd.Series) -> pd.Series:
+        def one(row) -> list[dict]:
+            found: dict[str, list[int]] = {}
+            for k, word in enumerate(row if row is not None else (), 1):
+                if (lexeme := lexeme_of(word, config)) is not None:
+                    found.setdefault(lexeme, []).append(k)
+            return [{"lexeme": w, "positions": found[w]} for w in sorted(found)]
+
+        return words.map(one)
+
+    return of_words(tokens(text))
+
+
+def term_vector(text: Column, terms: Sequence[str]) -> Column:
+    """The search vector of a text with the words themselves as lexemes, of these words only: an expression of the row."""
+
+    def of_tokens(t: Column) -> Column:
+        places = lambda x: F.filter(F.transform(t, lambda y, k: F.when(y == x, k + 1)), lambda p: p.isNotNull())
+        every = F.array(*[F.struct(F.lit(x).alias("lexeme"), places(F.lit(x)).alias("positions")) for x in sorted(terms)])
+        return F.filter(every, lambda e: F.size(e["positions"]) > 0)
+
+    return F.get(F.transform(F.array(tokens(text)), of_tokens), F.lit(0))
 
 
 def simple_lexeme(word: Column) -> Column:
@@ -45,19 +85,14 @@ def simple_lexeme(word: Column) -> Column:
 
 
 def lexemes(docs: DataFrame, key: str, text: str, config: str = "english") -> DataFrame:
-    """(key, lexeme, position): english drops stop words and stems, simple strips plain suffixes."""
-    words = docs.select(key, F.posexplode(tokens(F.col(text))).alias("position", "word")).withColumn("position", F.col("position") + 1)
-    if config == "simple":
-        return words.select(key, simple_lexeme(F.col("word")).alias("lexeme"), "position")
-    words = words.where(~F.col("word").isin(STOP_WORDS))
-    stems = words.select("word").distinct().withColumn("lexeme", stem_udf("word"))
-    return words.join(stems, "word").select(key, "lexeme", "position")
+    """(key, lexeme, position) of every lexeme."""
+    entries = docs.select(key, F.explode(vector(F.col(text), config)).alias("e"))
+    return entries.select(key, "e.lexeme", F.explode("e.positions").alias("position"))
 
 
 def to_tsvector(docs: DataFrame, key: str, text: str, config: str = "english") -> DataFrame:
     """(key, vector) of every document that has a lexeme."""
-    by = lexemes(docs, key, text, config).groupBy(key, "lexeme").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    return by.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lexeme", "positions"))).alias("vector"))
+    return docs.select(key, vector(F.col(text), config).alias("vector")).where(F.size("vector") > 0)
 
 
 class Query:
@@ -169,21 +204,32 @@ def ts_headline(text: Column, query: Query, most_words: int = 35, start: str = "
 
 
 def lexeme_statistics(docs: DataFrame, key: str, text: str, most: int = 10, config: str = "english") -> DataFrame:
-    """The most common lexemes by the number of documents that hold them."""
-    return lexemes(docs, key, text, config).select(key, "lexeme").distinct().groupBy("lexeme").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lexeme").limit(most)
-
-
-def thesaurus_lexeme(word: Column, entries: Mapping[str, str]) -> Column:
-    """A word's entry in a thesaurus, or the word."""
-    if not entries:
-        return word
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])[word], word)
-
-
-def affix_lexeme(word: Column, known: list[str], suffixes: Mapping[str, str]) -> Column:
-    """A known word, or the known word that a suffix rule gives, else NULL."""
-    out = F.when(word.isin(known), word)
-    for suffix, put in suffixes.items():
-        base = F.regexp_replace(word, re.escape(suffix) + "$", put)
-        out = out.when(word.endswith(suffix) & base.isin(known), base)
-    return out
+    """The most common lexemes by the number of documents that hold them, and the mean number of lexemes of a document."""
+    vectors = docs.select(vector(F.col(text), config).alias("v"))
+    top = vectors.select(F.explode("v").alias("e")).groupBy("e.lexeme").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lexeme").limit(most)
+    return top.join(F.broadcast(vectors.agg(F.avg(F.size("v")).alias("average_length"))))  # one row
+
+
+def thesaurus_lexemes(word: Column, groups: Sequence[Sequence[str]]) -> Column:
+    """All words of the first group of synonyms that has the word, which is compared in lower case; else the word alone."""
+    lower = F.lower(word)
+    first: dict[str, Sequence[str]] = {}
+    for group in groups:
+        for w in group:
+            first.setdefault(w.lower(), [x.lower() for x in group])
+    if not first:
+        return F.array(lower)
+    entries = F.create_map(*[x for w, group in first.items() for x in (F.lit(w), F.array(*map(F.lit, group)))])
+    return F.when(word.isNotNull(), F.coalesce(entries[lower], F.array(lower)))
+
+
+def affix_lexeme(word: Column, known: Sequence[str], affixes: Sequence[tuple[str, bool]]) -> Column:
+    """The known word that is left when the first fitting affix (its letters, whether it is a prefix) goes, else the word in lower case."""
+    lower, words = F.lower(word), [w.lower() for w in known]
+    out = F.when(word.isNull(), None)
+    for affix, prefix in affixes:
+        affix = affix.lower()
+        fits = lower.startswith(affix) if prefix else lower.endswith(affix)
+        stem = F.substring(lower, F.lit(len(affix) + 1), F.length(lower)) if prefix else F.substring(lower, F.lit(1), F.length(lower) - len(affix))
+        out = out.when(fits & (F.length(lower) > len(affix)) & stem.isin(words), stem)
+    return out.otherwise(lower)

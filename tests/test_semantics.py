@@ -1,11 +1,19 @@
 """Operators and expressions on small literal tables."""
 
+import math
+import random
+import statistics
+
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur import semantics as S
-from larkspur.functions import bits, geometry, networks, ranges, user
+from larkspur.functions import bits, geometry, networks, ranges, temporal, user
+from larkspur.operators import dml, ordered
 from larkspur.operators import relational as R
+from larkspur.operators.policies import Policies
+from larkspur.plans import catalog
 from larkspur.sources import files
 from larkspur.stats import profile
 from larkspur.streaming import windows
@@ -101,7 +109,9 @@ def test_search(spark):
 
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "b")], "k int, v string")
-    assert profile.dependency(df, "k", "v").first()[0] == 1.0
+    more = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a")], "k int, v string")
+    assert values(profile.dependencies(more, ["k", "v"])) == [("k", "v", 0.75), ("v", "k", 0.75)]
+    assert values(profile.dependencies(df, ["k", "v"])) == [("k", "v", 1.0), ("v", "k", 1.0)]
     assert [r["n_distinct"] for r in profile.column_profile(df, ["k", "v"]).collect()] == [3, 2]
 
 
@@ -119,8 +129,122 @@ def test_stream_equals_table(spark):
 
 
 def test_dictionaries(spark):
-    assert one(spark, search.thesaurus_lexeme(F.lit("auto"), {"auto": "car"})) == "car"
-    assert one(spark, search.thesaurus_lexeme(F.lit("bike"), {"auto": "car"})) == "bike"
-    assert one(spark, search.affix_lexeme(F.lit("studies"), ["study"], {"ies": "y"})) == "study"
-    assert one(spark, search.affix_lexeme(F.lit("nothing"), ["study"], {"ies": "y"})) is None
-    assert one(spark, search.simple_lexeme(F.lit("flies"))) == "fly"
+    groups = [["car", "auto"], ["Auto", "bus"]]
+    assert one(spark, search.thesaurus_lexemes(F.lit("AUTO"), groups)) == ["car", "auto"]
+    assert one(spark, search.thesaurus_lexemes(F.lit("Bus"), groups)) == ["auto", "bus"]
+    assert one(spark, search.thesaurus_lexemes(F.lit("Bike"), groups)) == ["bike"]
+    affixes = [("ing", False), ("re", True)]
+    for word, want in (("Studying", "study"), ("restudy", "study"), ("nothing", "nothing"), ("RE", "re"), ("Study", "study")):
+        assert one(spark, search.affix_lexeme(F.lit(word), ["study", "turn"], affixes)) == want
+    assert one(spark, search.simple_lexeme(F.lit("flies"))) == search.lexeme_of("flies", "simple") == "fly"
+
+
+def ordered_table(spark):
+    r = random.Random(3)
+    rows = [(r.choice("ab"), r.choice([None, *range(40)]), k) for k in range(400)] + [(None, 5, 400), (None, None, 401)]
+    return rows, spark.createDataFrame(rows, "g string, v int, k int").repartition(5)
+
+
+def test_running_totals_ranks_and_frames(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RUN", 16)
+    rows, df = ordered_table(spark)
+    w = Window.partitionBy("g").orderBy(F.col("k").asc_nulls_last())
+    want = df.withColumn("s", F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    assert values(ordered.running_total(df, ["g"], ["k"], s=F.col("v"))) == values(want)
+    by = Window.partitionBy("g").orderBy(F.col("v").asc_nulls_last())
+    want = df.withColumn("rank", F.rank().over(by)).withColumn("dense_rank", F.dense_rank().over(by))
+    assert values(ordered.ranks(df, ["g"], "v")) == values(want)
+    frame = w.rowsBetween(-3, 2)
+    want = df.withColumn("s", F.sum("v").over(frame)).withColumn("lo", F.min("v").over(frame))
+    assert values(ordered.sliding_rows(df, ["g"], ["k"], 3, 2, s=F.sum("v"), lo=F.min("v"))) == values(want)
+    assert ordered.running_total(df.where("false"), ["g"], ["k"], s=F.col("v")).collect() == []
+
+
+def test_percentiles_mode_and_offset(spark):
+    rows, df = ordered_table(spark)
+    of = {g: sorted(v for h, v, _ in rows if h == g and v is not None) for g in ("a", "b", None)}
+    got = {x["g"]: (x["d"], x["c"]) for x in ordered.percentiles(df, ["g"], "v", {"d": (0.3, False), "c": (0.5, True)}).collect()}
+    assert got == {g: (v[max(math.ceil(0.3 * len(v)) - 1, 0)], statistics.median(v)) for g, v in of.items()}
+    assert ordered.mode(df, [], "v").first()[0] == min(statistics.multimode(sorted(v for _, v, _ in rows if v is not None)))
+    for n in (0, 1, 17, 401, 402, 999):
+        assert ordered.offset_rows(df, n).count() == max(402 - n, 0)
+
+
+def test_recursion_of_many_rounds(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)], "a int, b int")
+    step = lambda new: new.join(edges, F.col("n") == F.col("a")).select(F.col("b").alias("n"))
+    seed = spark.createDataFrame([(0,)], "n int")
+    assert R.recursive_distinct(seed, step).count() == 21
+    with pytest.raises(RuntimeError):
+        R.recursive_distinct(seed, step, most=3)
+
+
+def test_changes_domains_and_policies(spark):
+    table = spark.createDataFrame([(1, "a", 5)], "id int, name string, val int")
+    with pytest.raises(ValueError, match="no such column"):
+        dml.insert_values(table, [(1,)], ["nothing"])
+    with pytest.raises(ValueError, match="number of values"):
+        dml.insert_values(table, [(1, "b")])
+    got = dml.insert_values(table, [(2, dml.DEFAULT, None)], defaults={"name": F.lit("none")})
+    assert values(got) == [(1, "a", 5), (2, "none", None)]
+    with pytest.raises(Exception, match="no value of the domain"):
+        one(spark, user.in_domain(F.lit(7), "int", lambda v: v < 5))
+    assert one(spark, user.in_domain(F.lit(None).cast("int"), "int", lambda v: v < 5)) is None
+    rules = Policies().add("ann", F.col("val") > 9)
+    assert values(rules.visible(table, "ann")) == values(rules.visible(table, "bob")) == []
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    keys = spark.range(0, 4000, 2).select(F.col("id").alias("k")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    bloom = profile.bloom_filter(keys, "k", 1 << 15, 5)
+    assert len(bloom.first()["bloom"]) == 512
+    passed = {r["k"] for r in profile.might_contain(spark.range(20_000).select(F.col("id").cast("int").alias("k")).union(spark.sql("SELECT CAST(NULL AS INT)")), "k", bloom, 1 << 15, 5).collect()}
+    assert passed >= set(range(0, 4000, 2)) and len(passed) < 2000 + 18_000 * 0.05 and None not in passed
+
+
+def test_sketches_merge(spark):
+    df = spark.range(50_000).select((F.col("id") % 20_000).alias("v"), (F.col("id") % 3).alias("g"))
+    whole = profile.estimates(profile.merged_sketches(profile.sketches(df, ["g"], "v"), [])).first()["n"]
+    assert abs(whole / 20_000 - 1) < 0.03
+
+
+def test_templates(spark):
+    t = F.lit("2023-01-05 14:07:09").cast("timestamp_ntz")
+    for template, want in (("YYYY-MM-DD HH24:MI:SS", "2023-01-05 14:07:09"), ('DY "the" DD', "THU the 05"), ("HH12 AM", "02 PM"), ("Month YY", "January 23"), ("T", "T")):
+        assert one(spark, temporal.to_char(t, template)) == want
+    assert str(one(spark, temporal.add_interval(F.lit("2024-01-31").cast("timestamp_ntz"), months=1))) == "2024-02-29 00:00:00"
+    assert one(spark, temporal.to_date(F.lit("no date"), "YYYY-MM-DD")) is None
+
+
+def test_session(spark):
+    row = catalog.queries()["session_settings"](spark, "").first()
+    assert row["user_name"] == row["session_name"] and row["schema_name"] == "default" and row["zone"] == "UTC"
+
+
+def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Context
+
+        @staticmethod
+        def getCheckpointDir():
+            return Context
+
+        @staticmethod
+        def isDefined():
+            return False
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        files.shared_dir(Session)
