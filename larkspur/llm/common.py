@@ -4,26 +4,31 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Separators of words: space and the ASCII controls from tab to carriage return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that a vectorised step holds at once, unless one text alone is longer.
 SLICE_BYTES = 2 << 20
 
+#: Bytes of a word that the vectorised hash covers; longer words are hashed one by one.
+LONG_WORD = 64
+
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+_letters: dict[bool, np.ndarray] = {}
+#: Tables that are still in the shared folder, by path.
+_tables: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one, for this session, where it is unset."""
+    """The folder that the session names in spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder. On a cluster the executors don't see such a folder, so there
+    it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("name a folder that all executors see in spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="larkspur-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -46,14 +57,43 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
-    It cuts the lineage: what follows survives lost executors without computing df again. The table goes when the
-    session's process ends.
+    It cuts the lineage: what follows survives lost executors without computing df again. The table goes by discard, by
+    release, or when the session's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkspur-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(release)
+    _tables[path] = spark
     df.write.parquet(path)
-    atexit.register(drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.larkspur_path = path
+    return found
+
+
+def summed(df: DataFrame, **sums: F.Column) -> tuple[DataFrame, dict]:
+    """Materialize df, and the values of these aggregates over its rows, by one job."""
+    seen = Observation()
+    found = materialize(df.observe(seen, *[c.alias(k) for k, c in sums.items()]))
+    return found, seen.get
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for found in tables:
+        if (spark := _tables.pop(found.larkspur_path, None)) is not None:
+            drop(spark, found.larkspur_path)
+
+
+def held() -> set[str]:
+    """The tables that are in the shared folder now."""
+    return set(_tables)
+
+
+def release(keep: set[str] = frozenset()) -> None:
+    """Delete all materialized tables but these."""
+    for path in set(_tables) - keep:
+        drop(_tables.pop(path), path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -101,18 +141,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        steps = np.full(size, base, dtype=np.uint64)
-        steps[0] = 1
+def _letter_table(lower: bool) -> np.ndarray:
+    """A random-looking 64-bit value for each place in a word (below LONG_WORD) and byte, as one row."""
+    if lower not in _letters:
         with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(steps)
-        if size > 2 * SLICE_BYTES:  # a single very long text: not kept
-            return have[:n]
-        _powers[kind] = have
-    return have[:n]
+            rows = mix(mix(np.arange(LONG_WORD * 256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))).reshape(LONG_WORD, 256)
+        _letters[lower] = np.ascontiguousarray(rows[:, _LOWER] if lower else rows).reshape(-1)
+    return _letters[lower]
 
 
 class Words:
@@ -137,15 +172,19 @@ class Words:
         #: Word number at which each text begins; one more entry than texts.
         self.offsets = np.searchsorted(self.starts, texts.offsets)
         if hashes:
+            size = self.ends - self.starts
+            edges = np.r_[self.starts, n]
+            place = np.arange(n, dtype=np.int32) - np.repeat(np.r_[0, self.starts].astype(np.int32), np.diff(np.r_[0, edges]))
+            place &= LONG_WORD - 1
+            place <<= 8
+            place |= data
+            sums = np.zeros(n + 1, dtype=np.uint64)
             with np.errstate(over="ignore"):
-                values = (_LOWER[data] if lower else data).astype(np.uint64)
-                values += np.uint64(1)
-                values *= _power("up", _BASE, n)
-                sums = np.zeros(n + 1, dtype=np.uint64)
-                np.cumsum(values, out=sums[1:])
-                h = (sums[self.ends] - sums[self.starts]) * _power("down", _BASE_INVERSE, n)[self.starts]
-                h ^= (self.ends - self.starts).astype(np.uint64) << np.uint64(48)
-                self.hashes = mix(h)
+                np.cumsum(_letter_table(lower)[place], out=sums[1:])
+                self.hashes = mix(sums[self.ends] - sums[self.starts] + size.astype(np.uint64))
+            for k in np.flatnonzero(size > LONG_WORD).tolist():
+                word = (_LOWER[data[self.starts[k] : self.ends[k]]] if lower else data[self.starts[k] : self.ends[k]]).tobytes()
+                self.hashes[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
     def by_text(self) -> np.ndarray:
         """The text number of each word."""

@@ -1,8 +1,8 @@
 """Connected components of a link table, on the cluster.
 
 Large-star and small-star steps shrink the table until every link leads to the smallest id of its component. Each step is
-aggregates of minima and joins, so a hub is summed before the shuffle or split by the join, and nothing is collected. Every round
-is written to the shared folder.
+aggregates of minima and joins, so a hub is summed before the shuffle or split by the join, and nothing is collected. A round
+is one job: it writes its table to the shared folder and takes the table's checksum on the way.
 """
 
 from __future__ import annotations
@@ -10,24 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, summed
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None) -> DataFrame:
     """(id, component) of every id that has a link to another one; component is the smallest id reachable.
 
     links may hold repeated rows, both directions and links of an id to itself; rows with nulls are passed over. An
-    empty table gives no rows.
+    empty table gives no rows. known: the result for other links, which are thereby part of these.
     """
+    if known is not None:
+        links, a, b = links.select(a, b).toDF("a", "b").union(known.select("id", "component")), "a", "b"
     u, v = F.col(a), F.col(b)
-    edges = materialize(links.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        before = state
-        edges = materialize(_small_star(_large_star(edges)))
+    edges, state = _round(links.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
+    while state["n"]:
+        before, last = state, edges
+        edges, state = _round(_small_star(_large_star(edges)))
+        discard(last)
+        if state == before:
+            break
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def _round(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The table of a round, and its number of rows and checksums."""
+    wide = lambda x: F.sum(x.cast("decimal(38,0)"))
+    return summed(edges, n=F.count(F.lit(1)), s=wide(F.xxhash64("u", "v")), t=wide(F.xxhash64("v", "u")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Features of a text are the distinct hashes of its lower-cased words, of neighbouring word pairs, and of word pairs with one
 word between. The learner keeps a learning rate for each coordinate; its L1 term leaves few weights, which are sent to the
-workers as two sorted arrays. It learns on the driver from a bounded sample of the labelled rows.
+workers as two sorted arrays. It learns in one task from a bounded sample of the labelled rows; the driver gets the weights.
 """
 
 from __future__ import annotations
@@ -47,19 +47,19 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights by FTRL-proximal from (label, buckets) rows: sorted buckets, their weights, the bias.
+    """Weights by FTRL-proximal from (label, distinct buckets) rows: sorted buckets, their weights, the bias.
 
     Without rows the weights are empty and the bias gives scores near 0.
     """
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0), -4.0
-    seen, count = np.unique(np.concatenate([f for _, f in rows]), return_counts=True)
-    seen = seen[count >= LEAST_ROWS]
-    local = []
-    for y, f in rows:
-        at = np.searchsorted(seen, f)
-        at = at[at < len(seen)]
-        local.append((y, at[seen[at] == f[: len(at)]]))
+    count = np.zeros(BUCKETS, dtype=np.int32)
+    for _, f in rows:
+        count[f] += 1
+    seen = np.flatnonzero(count >= LEAST_ROWS)
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[seen] = np.arange(len(seen))
+    local = [(y, at[at >= 0]) for y, at in ((y, place[f]) for y, f in rows)]
     z, n = np.zeros(len(seen) + 1), np.zeros(len(seen) + 1)
     bias = len(seen)
 
@@ -99,7 +99,12 @@ def in_training(key: F.Column) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Learn from at most rows labelled rows. Null labels teach nothing; repeated labels of a key teach as one, by their maximum."""
+    """Learn from at most rows labelled rows, in one task.
+
+    Null labels teach nothing; repeated labels of a key teach as one, by their maximum, and repeated rows of a document by
+    their least text. Null texts have no features. Empty tables give the model without weights. A text of any length
+    is read in one piece; it has at most BUCKETS features.
+    """
     sample = (
         labels.where(F.col(label).isNotNull() & in_training(F.col(key)))
         .join(docs.select(key), key, "left_semi")
@@ -109,35 +114,45 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
         .limit(rows)
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = []
         for batch in batches:
             for part in slices(batch.column(1)):
                 owner, f = features(part)
-                edges = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.ListArray.from_arrays(pa.array(edges), pa.array(f.astype(np.int32)))], ["y", "f"])
+                edges = np.searchsorted(owner, np.arange(len(part) + 1))
+                f = f.astype(np.int32)
+                seen += [(y, f[a:b].copy()) for y, a, b in zip(batch.column(0).slice(part.first, len(part)).to_pylist(), edges[:-1], edges[1:], strict=True)]
+        buckets, weights, bias = learn(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([buckets.astype("<i8").tobytes()]), pa.array([weights.astype("<f8").tobytes()]), pa.array([bias])], ["buckets", "weights", "bias"])
 
-    # the sample has a fixed size, so it is sent to the documents
-    found = docs.select(key, text).join(F.broadcast(sample), key).select("y", text, F.xxhash64(key).alias("o")).orderBy("o").select("y", text)
-    got = found.mapInArrow(run, "y int, f array<int>").toArrow()
-    return learn([(y, f.values.to_numpy()) for y, f in zip(got.column(0).to_pylist(), got.column(1), strict=True)])
+    # the sample has a fixed size, so it is sent to the documents; a key that many rows have teaches once, by its least text
+    found = docs.select(key, text).join(F.broadcast(sample), key).groupBy(F.xxhash64(key).alias("o"), key).agg(F.min("y").alias("y"), F.min(text).alias("t"))
+    model = found.repartition(1).sortWithinPartitions("o", key).select("y", "t").mapInArrow(fit, "buckets binary, weights binary, bias double").collect()
+    if not model:  # an empty table has no task
+        return learn([])
+    return np.frombuffer(model[0]["buckets"], "<i8"), np.frombuffer(model[0]["weights"], "<f8"), model[0]["bias"]
 
 
 def with_score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", to: str = "score") -> DataFrame:
-    """Add the score of every row; null and empty texts get the score of no features."""
+    """Add the score of every row, in place of a column of that name if there is one.
+
+    Null and empty texts get the score of no features. Repeated rows get equal scores, each its own; an empty table gives
+    no rows. A text of any length is read as a whole.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    others = [f for f in docs.schema.fields if f.name != to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(names.index(text))):
+            for part in slices(batch.column(0)):
                 rows = batch.slice(part.first, len(part))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score_texts(part, *sent.value))], [*names, to])
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(score_texts(part, *sent.value))], [*(f.name for f in others), to])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+    return docs.select(F.col(text).alias("_text"), *[f.name for f in others]).mapInArrow(run, T.StructType([*others, T.StructField(to, T.DoubleType())]))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of every row; null and empty texts get the score of no features."""
+    """(key, score) of every row. Null and empty texts get the score of no features, repeated rows equal ones; an empty table gives no rows."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
 
