@@ -5,9 +5,12 @@ similarity is estimated from the packed bits by counting, corrected for chance m
 the full shingle sets. Documents with equal sets are one class from the start, so copies never meet in pairs.
 
 Links only matter as far as they connect. In the first round each class meets the smallest class of each of its buckets. A bucket
-whose members are connected by then is done; in the others, a member picked by hash meets the rest. In those still
-open, the members outside the main component meet all members of other components, inside the join and by full sets, so
-no link between unconnected documents of a bucket is passed over and no pair without a link is made.
+whose members are connected by then is done; in the others, a member picked by hash meets the rest. What is still
+unconnected in a bucket then is compared by its rarest shingles only: of two sets at the limit, each has a shared one
+among the rarest quarter. So a bucket of many pages from one form, all filled in differently, makes no pairs, and no
+link between unconnected documents of a bucket is passed over.
+
+Sets are sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, grams, materialize, mix, slices, table
+from .common import Words, discard, grams, materialize, mix, slices, summed, table
 from .components import components
 
 #: Words in a shingle, and the similarity that links, in percent.
@@ -30,8 +33,8 @@ BANDS, ROWS = 32, 4
 BITS = 2
 #: Estimates from here are confirmed: five standard errors below the limit.
 LEAST_ESTIMATE = 0.5
-#: Rounds in which open buckets get another member as their head.
-PICKS = 2
+#: Members of a token's group that one task compares with the rest of the group.
+GROUP_PART = 1000
 _SEEDS = np.random.default_rng(20240).integers(1, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 _SIG_LONGS = BANDS * ROWS * BITS // 64
 
@@ -139,64 +142,98 @@ def similar(a: Column, b: Column) -> Column:
     return shared * 100 >= (F.size(a) + F.size(b) - shared) * PERCENT
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) among distinct pairs: first by the estimate from packed bits, then by the full sets."""
-    sig = lambda c: sets.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")).hint("merge")
+def confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) among pairs: first by the estimate from packed bits, then by the full sets of what is likely."""
+    sig = lambda c: sigs.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")).hint("merge")
+    likely = pairs.join(sig("a"), "a").join(sig("b"), "b").where(estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE).select("a", "b")
+    return by_sets(likely, sets)
+
+
+def by_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among pairs by their full sets."""
     full = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}")).hint("merge")
-    likely = materialize(pairs.join(sig("a"), "a").join(sig("b"), "b").where(estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE).select("a", "b"))
-    return materialize(likely.join(full("a"), "a").join(full("b"), "b").where(similar(F.col("set_a"), F.col("set_b"))).select("a", "b"))
+    likely = materialize(pairs.distinct())
+    links = materialize(likely.join(full("a"), "a").join(full("b"), "b").where(similar(F.col("set_a"), F.col("set_b"))).select("a", "b"))
+    discard(likely)
+    return links
 
 
-def open_buckets(buckets: DataFrame, joined: DataFrame) -> DataFrame:
-    """(bucket, id, component) of the buckets whose members are not all connected."""
+def open_buckets(buckets: DataFrame, joined: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, id, component) of the buckets whose members are not all connected, and the number of these rows."""
     placed = buckets.join(joined.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     spots = placed.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("bucket")
-    return materialize(placed.join(spots.hint("merge"), "bucket"))
+    found, sums = summed(placed.join(spots.hint("merge"), "bucket"), n=F.count(F.lit(1)))
+    return found, sums["n"]
+
+
+def pairs_by_rare_shingles(nodes: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (id, component) in different components that may be similar, without a similar pair lost.
+
+    Shingles that one component alone has come first in the order of rareness, as no such pair shares them. The first
+    n - ceil(n * PERCENT / 100) + 1 of a set's n shingles then hold one of each set that is similar to it; and at the first
+    shingle that two similar sets share, enough of both must be left behind it. Where a shingle's group is large, its
+    members outside the largest component are dealt to several tasks.
+    """
+    of_node = nodes.join(sets.hint("merge"), "id").join(sigs.hint("merge"), "id").select("id", "component", "sig", "shingles", F.size("shingles").alias("size"), F.xxhash64("shingles").alias("v"))
+    tokens = of_node.select("id", "v", "component", "size", F.explode("shingles").alias("t"))
+    by_component = tokens.groupBy("t", "component").agg(F.count(F.lit(1)).alias("n"))
+    groups = by_component.groupBy("t").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = tokens.join(groups.select("t", "n", "most", "main").hint("merge"), "t")
+    ranked = shared.groupBy("id", "v", "component", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t", "most", "main"))).alias("ts"))
+    length = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1 - (F.col("size") - F.size("ts"))
+    left = (F.size("ts") - F.col("place")).alias("left")  # shingles from this one on
+    kept = ranked.where(length > 0).select("id", "component", "size", "ts", F.posexplode(F.slice("ts", F.lit(1), length.cast("int"))).alias("place", "x")).select("id", "component", "size", left, "x.*")
+    kept = materialize(kept.join(sigs.hint("merge"), "id"))
+    parts = (1 + (F.col("n") - F.col("most")) / GROUP_PART).cast("int")
+    a = kept.where("component != main").select("t", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "size", "left", "sig")])
+    b = kept.select("t", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "size", "left", "sig")])
+    enough = F.least("left_a", "left_b") * (100 + PERCENT) >= (F.col("size_a") + F.col("size_b")) * PERCENT
+    near = enough & (F.col("size_a") * 100 >= F.col("size_b") * PERCENT) & (F.col("size_b") * 100 >= F.col("size_a") * PERCENT) & (estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE)
+    return a.join(b.hint("merge"), ["t", "part"]).where((F.col("component_a") != F.col("component_b")) & near).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every document.
+    """(key, n_shingles, component_id, kept) of every row.
 
     Null, empty and wordless texts have no shingles and are linked with nothing. Equal sets are one class; ties go to the
-    smallest key; a row with a null key is kept. An empty table gives no rows. Other columns are ignored.
+    smallest key; a row with a null key is kept. Rows that repeat a key are judged each by its own text: equal ones give equal
+    rows, which are kept or not together. A text of any length is read as a whole by one task. An empty table gives no
+    rows. Other columns are ignored.
     """
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     seen = materialize(features(docs, "id", "text"))
-    classes = materialize(seen.where("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("rep")))
-    reps = seen.join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi")
-    members = materialize(reps.select("id", F.explode("bands").alias("bucket")))
-    shared = members.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
+    name = ["s1", "s2", "n_shingles"]
+    classes = materialize(seen.where("n_shingles > 0").groupBy(*name).agg(F.min("id").alias("rep")))
+    # F.first drops exact repetitions of a row, which meet here by the join's partitioning
+    reps = seen.join(classes.withColumnRenamed("rep", "id").hint("merge"), ["id", *name], "left_semi").groupBy("id", *name).agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = materialize(reps.select("id", "bands", "sig"))
+    members = reps.select("id", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head != last").select("bucket", "head")
     buckets = materialize(members.join(shared.hint("merge"), "bucket"))  # the buckets that hold two classes or more
-    wanted = buckets.select("id").distinct()
-    texts = docs.join(wanted.hint("merge"), "id", "left_semi")
-    sets = materialize(full_sets(texts, "id", "text").join(seen.select("id", "sig", "bands").hint("merge"), "id"))
+    wanted = materialize(buckets.select("id").distinct())
+    sigs = materialize(reps.select("id", "sig").join(wanted.hint("merge"), "id", "left_semi"))
+    discard(reps)
+    texts = docs.join(wanted.hint("merge"), "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    sets = materialize(full_sets(texts, "id", "text").where(F.size("shingles") > 0))
 
     # every class meets the smallest one of each of its buckets, then one picked by hash in the buckets still open
-    links = confirmed(buckets.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sets)
-    for turn in range(PICKS):
-        left = open_buckets(buckets, components(links))
-        pick = left.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "bucket", F.lit(turn))).alias("h")).select("bucket", F.col("h.id").alias("a"), F.col("h.component").alias("ca"))
+    links = confirmed(buckets.where("id != head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sigs, sets)
+    joined = components(links)
+    left, open_rows = open_buckets(buckets, joined)
+    if open_rows:
+        pick = left.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "bucket")).alias("h")).select("bucket", F.col("h.id").alias("a"), F.col("h.component").alias("ca"))
         pairs = left.join(pick.hint("merge"), "bucket").where("component != ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        links = links.union(confirmed(pairs, sets))
-
-    # in what is open now, the members outside the component of a bucket's head meet all others of the bucket
-    left = open_buckets(buckets, components(links))
-    head = left.groupBy("bucket").agg(F.min_by("component", F.xxhash64("id", "bucket", F.lit(PICKS))).alias("main"))
-    full = left.join(head.hint("merge"), "bucket").join(sets.hint("merge"), "id")
-    columns = ("id", "component", "sig", "bands", "shingles")
-    a = full.where("component != main").select("bucket", *[F.col(c).alias(f"{c}_a") for c in columns])
-    b = full.select("bucket", *[F.col(c).alias(f"{c}_b") for c in columns])
-    size_a, size_b = F.size("shingles_a"), F.size("shingles_b")
-    near = (size_a * 100 >= size_b * PERCENT) & (size_b * 100 >= size_a * PERCENT) & (estimate(F.col("sig_a"), F.col("sig_b")) >= LEAST_ESTIMATE)
-    # a pair with several buckets in common, all open now, is compared in the smallest of them only; main differs by bucket, so both sides count
-    once = F.array_min(F.array_intersect("bands_a", "bands_b")) == a["bucket"]
-    meet = (a["bucket"] == b["bucket"]) & (F.col("component_a") != F.col("component_b")) & near & once & similar(F.col("shingles_a"), F.col("shingles_b"))
-    more = a.join(b.hint("merge"), meet).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
-    joined = components(links.union(more)).select(F.col("id").alias("rep"), "component")
+        joined = components(confirmed(pairs, sigs, sets), known=joined)
+        left, open_rows = open_buckets(buckets, joined)
+    if open_rows:
+        nodes = materialize(left.select("id", "component").distinct())
+        joined = components(by_sets(pairs_by_rare_shingles(nodes, sigs, sets), sets), known=joined)
 
     # equal sets first, then the component of their class; the hot class is split by the join
-    of_class = classes.join(joined.hint("merge"), "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = seen.select("id", "s1", "s2", "n_shingles").join(of_class.hint("merge"), ["s1", "s2", "n_shingles"], "left")
+    joined = joined.select(F.col("id").alias("rep"), "component")
+    of_class = materialize(classes.join(joined.hint("merge"), "rep", "left").select(*name, F.coalesce("component", "rep").alias("component_id")))
+    discard(buckets, wanted, sigs, sets)
+    out = seen.select("id", *name).join(of_class.hint("merge"), name, "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
