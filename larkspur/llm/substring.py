@@ -7,7 +7,8 @@
 3. The pieces are dealt to shards by their minimum. Each shard builds FM-indexes over its pieces and streams the pieces
    against them: backward search gives the windows that also lie in a piece of an earlier document.
 
-Words are compared by 64-bit hashes.
+Words are compared by 64-bit hashes. A row is named by its key and the hash of its text, so several rows of one key are each
+judged on their own against the rows of smaller keys.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, grams, materialize, mix, slices, table
+from .common import Words, discard, grams, materialize, mix, slices, table
 from .fm_index import FMIndex
 
 #: Words in a window, and in the grams whose smallest hash names its run.
@@ -75,8 +76,8 @@ def runs_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return o[first], place[first], place[first] + size, m[first]
 
 
-def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n_words, t1, t2, kept_sha256, runs) of every document; t1 and t2 name its word sequence; the digest is of all words."""
+def scan(docs: DataFrame) -> DataFrame:
+    """(id, x, n_words, t1, t2, kept_sha256, runs) of every document; t1 and t2 name its word sequence; the digest is of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +92,10 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                 owner, first, stop, low = runs_of(words)
                 edges = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
                 runs = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(low.view(np.int64))], ["first", "stop", "m"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(part)), pa.array(n.astype(np.int64)), pa.array(t1), pa.array(t2), pa.array(shas), pa.ListArray.from_arrays(pa.array(edges), runs)], ["id", "n_words", "t1", "t2", "kept_sha256", "runs"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.first, len(part)) for c in (0, 2)), pa.array(n.astype(np.int64)), pa.array(t1), pa.array(t2), pa.array(shas), pa.ListArray.from_arrays(pa.array(edges), runs)], ["id", "x", "n_words", "t1", "t2", "kept_sha256", "runs"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, n_words long, t1 long, t2 long, kept_sha256 string, runs array<struct<first:int,stop:int,m:long>>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text", "x").mapInArrow(run, f"id {kind}, x long, n_words long, t1 long, t2 long, kept_sha256 string, runs array<struct<first:int,stop:int,m:long>>")
 
 
 def _bytes_of(part, words: Words, k: int) -> list[bytes]:
@@ -103,7 +104,7 @@ def _bytes_of(part, words: Words, k: int) -> list[bytes]:
 
 
 def run_words(candidates: DataFrame, kind: str) -> DataFrame:
-    """(id, first, firsts, m, r1, r2, words, hashes) of each candidate run: its word hashes, its windows' hashes, and its name.
+    """(id, x, first, firsts, m, r1, r2, words, hashes) of each candidate run: its word hashes, its windows' hashes, and its name.
 
     A run that a document holds more than once is one row; firsts has all its places.
     """
@@ -112,9 +113,8 @@ def run_words(candidates: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch.column(1)):
                 words = Words(part)
-                ids = batch.column(0).slice(part.first, len(part)).to_pylist()
-                wanted = batch.column(2).slice(part.first, len(part)).to_pylist()
-                rows: list[list] = [[] for _ in range(8)]
+                ids, texts, wanted = (batch.column(c).slice(part.first, len(part)).to_pylist() for c in (0, 2, 3))
+                rows: list[list] = [[] for _ in range(9)]
                 for k, spans in enumerate(wanted):
                     own = words.hashes[words.offsets[k] : words.offsets[k + 1]]
                     hashed = window_hashes(own)
@@ -127,34 +127,34 @@ def run_words(candidates: DataFrame, kind: str) -> DataFrame:
                             again.append(span["first"])
                             continue
                         firsts = places[span["m"], *names] = [span["first"]]
-                        for column, value in zip(rows, [ids[k], span["first"], firsts, span["m"], *names, own[span["first"] : span["stop"] + WINDOW - 1].tobytes(), h.view(np.int64)], strict=True):
+                        for column, value in zip(rows, [ids[k], texts[k], span["first"], firsts, span["m"], *names, own[span["first"] : span["stop"] + WINDOW - 1].tobytes(), h.view(np.int64)], strict=True):
                             column.append(value)
-                types = [batch.schema.field(0).type, pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+                types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 for at in range(0, len(rows[0]), 5000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 5000], t) for c, t in zip(rows, types, strict=True)], ["id", "first", "firsts", "m", "r1", "r2", "words", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 5000], t) for c, t in zip(rows, types, strict=True)], ["id", "x", "first", "firsts", "m", "r1", "r2", "words", "hashes"])
 
-    return candidates.mapInArrow(run, f"id {kind}, first int, firsts array<int>, m long, r1 long, r2 long, words binary, hashes array<long>")
+    return candidates.mapInArrow(run, f"id {kind}, x long, first int, firsts array<int>, m long, r1 long, r2 long, words binary, hashes array<long>")
 
 
 def cut_pieces(runs: DataFrame, kind: str) -> DataFrame:
-    """(id, firsts, m, p1, p2, at, n, words): the stretches of shared windows (places) of each run."""
+    """(id, x, first, m, p1, p2, at, n, words): the stretches of shared windows (places) of each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for k, firsts, m, data, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, places = np.frombuffer(data, dtype=np.uint64), np.sort(np.array(places, dtype=np.int64))
+            rows: list[list] = [[] for _ in range(9)]
+            for k, x, first, m, data, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, places = np.frombuffer(data, dtype=np.uint64), np.unique(np.array(places, dtype=np.int64))
                 for stretch in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
                     at, n = int(stretch[0]), len(stretch)
                     part = own[at : at + n + WINDOW - 1]
                     with np.errstate(over="ignore"):
                         names = [int(np.add.reduce(mix(part + np.arange(len(part), dtype=np.uint64) * np.uint64(salt))).view(np.int64)) for salt in (3, 0x9E3779B97F4A7C15)]
-                    for column, value in zip(rows, [k, firsts, m, *names, at, n, part.tobytes()], strict=True):
+                    for column, value in zip(rows, [k, x, first, m, *names, at, n, part.tobytes()], strict=True):
                         column.append(value)
-            types = [batch.schema.field(0).type, pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["id", "firsts", "m", "p1", "p2", "at", "n", "words"])
+            types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["id", "x", "first", "m", "p1", "p2", "at", "n", "words"])
 
-    return runs.mapInArrow(run, f"id {kind}, firsts array<int>, m long, p1 long, p2 long, at int, n int, words binary")
+    return runs.mapInArrow(run, f"id {kind}, x long, first int, m long, p1 long, p2 long, at int, n int, words binary")
 
 
 def search_pieces(pieces: DataFrame, kind: str, shards: int) -> DataFrame:
@@ -191,14 +191,14 @@ def search_pieces(pieces: DataFrame, kind: str, shards: int) -> DataFrame:
 
 
 def cut_texts(found: DataFrame, kind: str) -> DataFrame:
-    """(id, n_removed, kept_sha256, kept_text) of documents with their text and the intervals of repeated windows."""
+    """(id, x, n_removed, sha, kept_text) of documents with their text and the intervals of repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1)):
-                ids = batch.column(0).slice(part.first, len(part))
+                names = [batch.column(c).slice(part.first, len(part)) for c in (0, 2)]
                 removed, shas, texts = [], [], []
-                for k, spans in enumerate(batch.column(2).slice(part.first, len(part)).to_pylist()):
+                for k, spans in enumerate(batch.column(3).slice(part.first, len(part)).to_pylist()):
                     words = bytes(part.data[part.offsets[k] : part.offsets[k + 1]]).split()
                     cut = np.zeros(len(words) + 1, dtype=np.int64)
                     for s in spans:
@@ -209,58 +209,67 @@ def cut_texts(found: DataFrame, kind: str) -> DataFrame:
                     removed.append(len(words) - len(keep))
                     shas.append(hashlib.sha256(kept).hexdigest())
                     texts.append(kept.decode())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(removed, pa.int64()), pa.array(shas), pa.array(texts)], ["id", "n_removed", "sha", "kept_text"])
+                yield pa.RecordBatch.from_arrays([*names, pa.array(removed, pa.int64()), pa.array(shas), pa.array(texts)], ["id", "x", "n_removed", "sha", "kept_text"])
 
-    return found.mapInArrow(run, f"id {kind}, n_removed long, sha string, kept_text string")
+    return found.mapInArrow(run, f"id {kind}, x long, n_removed long, sha string, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, n_removed, kept_sha256, kept_text) of every document.
+    """(key, text_hash, n_words, n_removed, kept_sha256, kept_text) of every row.
 
-    kept_text is null where nothing is removed: the text stays as it is. Null and empty texts have no words. A document
-    whose words equal those of a smaller key loses them all if they fill a window. Ties go to the smallest key;
-    a row with a null key stays as it is and removes nothing. An empty table gives no rows. Other columns are ignored.
+    text_hash is xxhash64 of the text; kept_text is null where nothing is removed: the text stays as it is. Null and empty texts
+    have no words. A document whose words equal those of a smaller key loses them all if they fill a window. Rows that
+    repeat a key, with the same text or another one, are judged each on their own and never against each other; a row
+    with a null key stays as it is and removes nothing. A text of any length is read as a whole by one task. An empty
+    table gives no rows. Other columns are ignored.
     """
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("x"))
     kind = docs.schema["id"].dataType.simpleString()
-    seen = materialize(scan(docs, "id", "text"))
-    classes = seen.where(F.col("n_words") >= WINDOW).groupBy("t1", "t2", "n_words").agg(F.min("id").alias("rep"))
-    classes = materialize(classes)
-    own = seen.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    runs = own.select("id", F.explode("runs").alias("r")).select("id", "r.first", "r.stop", "r.m")
+    seen = materialize(scan(docs))
+    # of rows with equal words, one of the smallest key stands for all; F.first drops exact repetitions where rows of a name meet
+    classes = materialize(seen.where(F.col("id").isNotNull() & (F.col("n_words") >= WINDOW)).groupBy("t1", "t2", "n_words").agg(F.min(F.struct("id", "x")).alias("rep")).select("t1", "t2", "n_words", "rep.id", "rep.x"))
+    own = seen.select("id", "x", "runs").join(classes.select("id", "x"), ["id", "x"], "left_semi").groupBy("id", "x").agg(F.first("runs").alias("runs"))
+    runs = own.select("id", "x", F.explode("runs").alias("r")).select("id", "x", "r.first", "r.stop", "r.m")
     common = runs.groupBy("m").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("m")
-    wanted = runs.join(common, "m").groupBy("id").agg(F.collect_list(F.struct("first", "stop", "m")).alias("spans"))
-    candidates = materialize(docs.join(wanted, "id").select("id", "text", "spans"))
+    wanted = runs.join(common, "m").groupBy("id", "x").agg(F.collect_list(F.struct("first", "stop", "m")).alias("spans"))
+    candidates = materialize(docs.join(wanted, ["id", "x"]).groupBy("id", "x").agg(F.first("text").alias("text"), F.first("spans").alias("spans")).select("id", "text", "x", "spans"))
     found = materialize(run_words(candidates, kind))
 
-    equal = materialize(found.groupBy("m", "r1", "r2").agg(F.min(F.struct("id", "first")).alias("rep"), F.max("id").alias("last")))
-    heads = equal.select("rep.id", "rep.first", "last")
-    single = materialize(found.join(heads, ["id", "first"]).select("id", "first", "firsts", "m", "words", "hashes", "last"))
-    windows = single.select("id", "first", "last", F.posexplode("hashes").alias("place", "h"))
+    equal = materialize(found.groupBy("m", "r1", "r2").agg(F.min(F.struct("id", "x", "first")).alias("rep"), F.max("id").alias("last")))
+    heads = equal.select("rep.*", "last")
+    single = materialize(found.join(heads, ["id", "x", "first"]).select("id", "x", "first", "m", "words", "hashes", "last"))
+    windows = single.select("id", "x", "first", "last", F.posexplode("hashes").alias("place", "h"))
     shared = windows.groupBy("h").agg(F.min("id").alias("a"), F.max("last").alias("b")).where("a < b").select("h")
-    places = windows.join(shared, "h").groupBy("id", "first").agg(F.collect_list("place").alias("places"))
-    pieces = materialize(cut_pieces(single.join(places, ["id", "first"]).select("id", "firsts", "m", "words", "places"), kind))
+    places = windows.drop("last").join(shared, "h").groupBy("id", "x", "first").agg(F.collect_list("place").alias("places"))
+    pieces = materialize(cut_pieces(single.join(places, ["id", "x", "first"]).select("id", "x", "first", "m", "words", "places"), kind))
+    discard(single)
 
-    piece_heads = materialize(pieces.groupBy("m", "p1", "p2").agg(F.min(F.struct(F.col("id"), F.col("firsts")[0].alias("first"), F.col("at"))).alias("rep"), F.first(F.octet_length("words")).alias("size")))
+    piece_heads = materialize(pieces.groupBy("m", "p1", "p2").agg(F.min(F.struct("id", "x", "first", "at")).alias("rep"), F.first(F.octet_length("words")).alias("size")))
     total = piece_heads.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // 8
-    heads = pieces.withColumn("first", F.col("firsts")[0]).join(piece_heads.select("rep.id", "rep.first", "rep.at"), ["id", "first", "at"], "left_semi")
+    heads = pieces.join(piece_heads.select("rep.*"), ["id", "x", "first", "at"], "left_semi")
     searched = materialize(search_pieces(heads, kind, max(1, -(-total // SHARD_WORDS))))
 
     # a piece whose class's first one is in another document lies in an earlier document as a whole; one of the same
     # document has the intervals of the first one
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    of_piece = pieces.join(searched, ["id", "m", "p1", "p2"], "left").select("id", "firsts", F.col("at").alias("shift"), F.explode(F.coalesce("spans", whole)).alias("s"))
-    of_heads = of_piece.select("id", F.explode("firsts").alias("first"), "shift", "s").select("id", (F.col("first") + F.col("shift") + F.col("s.a")).alias("a"), (F.col("first") + F.col("shift") + F.col("s.b")).alias("b"))
-    # a run that is not its class's first one lies in an earlier document as a whole, as a document has one row of a class
-    of_runs = found.join(equal.select("rep.id", "rep.first"), ["id", "first"], "left_anti").select("id", F.explode("firsts").alias("a"), F.size("hashes").alias("n")).select("id", "a", (F.col("a") + F.col("n")).alias("b"))
-    spans = of_heads.union(of_runs).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    cut = materialize(cut_texts(candidates.select("id", "text").join(spans, "id"), kind))
-
-    copies = seen.select("id", "n_words", "t1", "t2", "kept_sha256").join(classes, ["t1", "t2", "n_words"], "left").withColumn("copy", F.coalesce(F.col("rep") < F.col("id"), F.lit(False)))
-    out = copies.join(cut, "id", "left")
+    of_piece = pieces.join(searched, ["id", "m", "p1", "p2"], "left").select("id", "x", "first", F.col("at").alias("shift"), F.explode(F.coalesce("spans", whole)).alias("s"))
+    inside = of_piece.select("id", F.col("x").alias("rx"), F.col("first").alias("rf"), (F.col("shift") + F.col("s.a")).alias("a"), (F.col("shift") + F.col("s.b")).alias("b"))
+    # so it is with runs
+    placed = found.select("id", "x", "firsts", F.size("hashes").alias("n"), "m", "r1", "r2").join(equal, ["m", "r1", "r2"]).select("id", "x", "firsts", "n", F.col("rep.id").alias("ri"), F.col("rep.x").alias("rx"), F.col("rep.first").alias("rf"))
+    of_heads = placed.where("ri = id").join(inside, ["id", "rx", "rf"]).select("id", "x", F.explode("firsts").alias("first"), "a", "b").select("id", "x", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    of_runs = placed.where("ri < id").select("id", "x", F.explode("firsts").alias("a"), "n").select("id", "x", "a", (F.col("a") + F.col("n")).alias("b"))
+    spans = of_heads.union(of_runs).groupBy("id", "x").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    cut = materialize(cut_texts(candidates.drop("spans").join(spans, ["id", "x"]).select("id", "text", "x", "spans"), kind))
+    discard(candidates, found, equal, pieces, piece_heads, searched)
+
+    reps = classes.select("t1", "t2", "n_words", F.col("id").alias("ri"), F.col("x").alias("rx"))
+    copies = seen.select("id", "x", "n_words", "t1", "t2", "kept_sha256").join(reps, ["t1", "t2", "n_words"], "left").withColumn("copy", F.coalesce(F.col("ri") < F.col("id"), F.lit(False)))
+    # a row has the cuts of the row of its key that stands for its words
+    out = copies.withColumn("rx", F.when(F.col("ri") == F.col("id"), F.col("rx"))).join(cut.withColumnRenamed("x", "rx"), ["id", "rx"], "left")
     empty = F.sha2(F.lit(""), 256)
     return out.select(
         F.col("id").alias(key),
+        F.col("x").alias("text_hash"),
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), empty).otherwise(F.coalesce("sha", "kept_sha256")).alias("kept_sha256"),
@@ -270,7 +279,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove passages of 50 words and more that stand in an earlier document, from all documents."""
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text", "text_hash")
 
 
 #: The same rows by SQL, with every window of every document as a row.
