@@ -17,12 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, materialize, summed, table
 from .components import components
 
 COSINE = 0.98
 #: Leading dimensions that order the vectors, and vectors in a block and in a leaf of the recursion.
-DIMS, BLOCK, LEAF = 4, 1024, 64
+DIMS, BLOCK, LEAF = 8, 2048, 64
 #: Vectors from which the principal dimensions are estimated, at most; they only guide the order, links don't depend on them.
 BASIS_ROWS = 10_000
 #: Cosines this close to the limit are computed again, one by one.
@@ -58,6 +58,18 @@ def basis_of(rows: list[tuple]) -> dict[int, np.ndarray]:
     return out
 
 
+def basis_from(classes: DataFrame, rows: int = BASIS_ROWS) -> dict[int, np.ndarray]:
+    """The principal dimensions of at most rows classes, those whose numbers hash lowest, found in one task."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [(k, v.values.to_numpy()) for batch in batches for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+        for width, basis in basis_of(seen).items():
+            yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([basis.astype("<f8").tobytes()])], ["width", "basis"])
+
+    sample = classes.orderBy(F.xxhash64("label", "embedding"), "c").limit(rows).select(F.xxhash64("label"), "embedding").repartition(1)
+    return {r["width"]: np.frombuffer(r["basis"], "<f8").reshape(r["width"], -1) for r in sample.mapInArrow(fit, "width int, basis binary").collect()}
+
+
 def project(x: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
     """The leading coordinates; vectors of a length that the sample had none of keep their first ones."""
     got = x @ basis if basis is not None else x[:, :DIMS]
@@ -118,7 +130,7 @@ def blocks_of(classes: DataFrame, basis: dict[int, np.ndarray], parts: int) -> D
     """The classes in epsilon grid order, cut into blocks of at most BLOCK, each with the box of its projections."""
     sent = classes.sparkSession.sparkContext.broadcast(basis)
     eps = reach()
-    cells = [f"c{k}" for k in range(DIMS)]
+    cells = [f"cell{k}" for k in range(DIMS)]
     kind, element = classes.schema["label"].dataType.simpleString(), classes.schema["embedding"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +139,7 @@ def blocks_of(classes: DataFrame, basis: dict[int, np.ndarray], parts: int) -> D
             for w in np.unique(widths):
                 part = batch.filter(pa.array(widths == w))
                 at = np.floor(project(units(matrix(part.column(4), int(w))), sent.value.get(int(w))) / eps).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array(at[:, k]) for k in range(DIMS)), part.column(4)], ["rep", "n", "label", "width", *cells, "embedding"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array(at[:, k]) for k in range(DIMS)), part.column(4)], ["c", "n", "label", "width", *cells, "embedding"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, serial, held, last = TaskContext.get().partitionId() << 32, 0, [], None
@@ -141,24 +153,23 @@ def blocks_of(classes: DataFrame, basis: dict[int, np.ndarray], parts: int) -> D
             values = [base + serial, last[0], width, len(held), [h[0] for h in held], [h[1] for h in held], raw.tobytes(), c.min(axis=0).tolist(), c.max(axis=0).tolist()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
-        types, names = None, ["block", "label", "width", "size", "reps", "counts", "vectors", "low", "high"]
+        types, names = None, ["block", "label", "width", "size", "classes", "counts", "vectors", "low", "high"]
         for batch in batches:
-            types = [pa.int64(), batch.schema.field(2).type, pa.int32(), pa.int32(), pa.list_(batch.schema.field(0).type), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            types = [pa.int64(), batch.schema.field(2).type, pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
             vectors = batch.column(4)
-            for k, (rep, n, label, width) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+            for k, (c, n, label, width) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
                 if held and ((label, width) != last or len(held) == BLOCK):
                     yield block()
                     held = []
                 last = (label, width)
-                held.append((rep, n, vectors[k].values.to_numpy()))
+                held.append((c, n, vectors[k].values.to_numpy()))
         if held:
             yield block()
 
-    placed = classes.select("rep", "n", "label", F.size("embedding").alias("width"), "embedding").mapInArrow(place, f"rep {classes.schema['rep'].dataType.simpleString()}, n long, label {kind}, width int, {', '.join(c + ' int' for c in cells)}, embedding {element}")
-    keys = ["label", "width", *cells, "rep"]
-    ordered = materialize(placed).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("rep", "n", "label", "width", "embedding")
-    rep = classes.schema["rep"].dataType.simpleString()
-    return ordered.mapInArrow(cut, f"block long, label {kind}, width int, size int, reps array<{rep}>, counts array<long>, vectors binary, low array<double>, high array<double>")
+    placed = classes.select("c", "n", "label", F.size("embedding").alias("width"), "embedding").mapInArrow(place, f"c long, n long, label {kind}, width int, {', '.join(c + ' int' for c in cells)}, embedding {element}")
+    keys = ["label", "width", *cells, "c"]
+    ordered = materialize(placed).repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("c", "n", "label", "width", "embedding")
+    return ordered.mapInArrow(cut, f"block long, label {kind}, width int, size int, classes array<long>, counts array<long>, vectors binary, low array<double>, high array<double>")
 
 
 def join_blocks(blocks: DataFrame, basis: dict[int, np.ndarray], double: bool) -> DataFrame:
@@ -173,11 +184,10 @@ def join_blocks(blocks: DataFrame, basis: dict[int, np.ndarray], double: bool) -
     for k in range(DIMS):
         touch &= (F.get("la", F.lit(k)) - F.get("hb", F.lit(k)) <= eps) & (F.get("lb", F.lit(k)) - F.get("ha", F.lit(k)) <= eps)
     pairs = left.join(right, ["label", "width", "stripe"]).where((F.col("a") <= F.col("b")) & touch).select("a", "b").distinct()
-    body = ["reps", "counts", "vectors"]
+    body = ["classes", "counts", "vectors"]
     first = blocks.select(F.col("block").alias("a"), "width", *[F.col(c).alias(f"{c}_a") for c in body])
     second = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"{c}_b") for c in body])
     rows = materialize(pairs).join(first, "a").join(second, "b").select("a", "b", "width", *[f"{c}_{s}" for s in "ab" for c in body])
-    rep = blocks.schema["reps"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,29 +212,35 @@ def join_blocks(blocks: DataFrame, basis: dict[int, np.ndarray], double: bool) -
                 hit = links > 0
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root[hit])], ["id", "links", "root"])
 
-    return rows.mapInArrow(run, f"id {rep}, links long, root {rep}")
+    return rows.mapInArrow(run, "id long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(key, n_links, component_id, kept) of every vector.
+    """(key, n_links, component_id, kept) of every row.
 
     Vectors that are null, empty or zero, hold nulls or non-finite components, or have a null label link with nothing; so do
-    vectors of different lengths. Copies link with each other; a row with a null key is kept. An empty table gives no rows. Other columns are ignored.
+    vectors of different lengths. Copies link with each other; so do rows that repeat a key, each of which counts as a vector;
+    a row with a null key is kept. A vector of any length is compared as a whole. An empty table gives no rows. Other
+    columns are ignored.
     """
     rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("embedding"))
     double = rows.schema["embedding"].dataType.elementType.simpleString() == "double"
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    named = materialize(rows.select("id", "label", "embedding", usable.alias("usable"), F.xxhash64("label", "embedding").alias("h1"), F.xxhash64("embedding", "label", F.lit(7)).alias("h2")))
-    groups = materialize(named.where("usable").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    classes = materialize(named.select(F.col("id").alias("rep"), "label", "embedding").join(groups.select("rep", "n"), "rep"))
-    basis = basis_of([(r["label"], r["embedding"]) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(BASIS_ROWS).select("label", "embedding").collect()])
-    total = classes.count()
-    blocks = materialize(blocks_of(classes, basis, max(1, -(-total // (8 * BLOCK)))))
+    named = rows.select("id", "label", "embedding", usable.alias("usable"), F.xxhash64("label", "embedding").alias("h1"), F.xxhash64("embedding", "label", F.lit(7)).alias("h2"))
+    # rows of equal label and vector are one class, which has a number of its own from here on
+    groups = named.where("usable").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    classes, sums = summed(groups.withColumn("c", F.monotonically_increasing_id()), total=F.count(F.lit(1)))
+    basis = basis_from(classes)
+    blocks = materialize(blocks_of(classes, basis, max(1, -(-sums["total"] // (8 * BLOCK)))))
     near = materialize(join_blocks(blocks, basis, double))
     counts = near.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(near.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("rep"), "component")
-    found = groups.join(counts.select(F.col("id").alias("rep"), "links"), "rep", "left").join(joined, "rep", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    joined = components(near.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("c"), "component")
+    of_class = classes.select("h1", "h2", "c", "rep", "n")
+    least = materialize(joined.join(of_class.select("c", "rep"), "c").groupBy("component").agg(F.min("rep").alias("least")))
+    found = of_class.join(counts.select(F.col("id").alias("c"), "links"), "c", "left").join(joined.join(least, "component").select("c", "least"), "c", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    found = materialize(found)
+    discard(classes, blocks, near, least)
     single = F.col("usable")
     out = named.select("id", "usable", "h1", "h2").join(found, ["h1", "h2"], "left")
     component = F.when(single, F.col("component_id")).otherwise(F.col("id"))
