@@ -29,6 +29,8 @@ MAGIC = b"\x1f\x8b\x08"
 LEAST_REVISIT_BYTES = 100
 #: Bytes of compressed records in one written archive, about.
 ARCHIVE_BYTES = 32 << 20
+#: The table of a folder's archives.
+MANIFEST = "manifest.parquet"
 RECORD = re.compile(rb"WARC/1\.[01]\r\n")
 TAIL = b"\r\n\r\n"
 
@@ -169,24 +171,23 @@ def plan_payloads(pages: DataFrame, key: str = "page_id", body: str = "html", ur
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", body: str = "html", uri: str = "url") -> str:
     """Write one record per row of pages to *.warc.gz files in folder, a shared folder; return the folder.
 
-    Each task writes archives of about ARCHIVE_BYTES and names them by its partition. A file gets its name only when
-    it is whole, so a task that runs again replaces what it wrote. An empty table gives an empty folder.
+    Each task writes its rows in order of key to archives of about ARCHIVE_BYTES, whose names hold its attempt. The table
+    MANIFEST in the folder lists the archives of the attempts that Spark committed, so what a lost or repeated attempt
+    leaves behind is never read. Null payloads are empty; repeated rows are a record each, and rows that repeat a key may
+    refer to each other's record only under another key. A payload of any length is one record. An empty table gives
+    an empty list. Other columns are ignored.
     """
-    spark = pages.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, held, count = TaskContext.get(), io.BytesIO(), 0
 
         def store() -> pa.RecordBatch:
             nonlocal count
+            name = f"part-{context.partitionId():05d}-{count:05d}-{context.taskAttemptId()}.warc.gz"
             store_fs, base = fs.FileSystem.from_uri(folder)
-            name = f"{base}/part-{context.partitionId():05d}-{count:05d}.warc.gz"
-            draft = f"{name}.{context.taskAttemptId()}.draft"
-            with store_fs.open_output_stream(draft, compression=None) as out:
+            store_fs.create_dir(base, recursive=True)
+            with store_fs.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(held.getbuffer())
-            store_fs.move(draft, name)
             size, count = held.tell(), count + 1
             held.__init__()
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size], pa.int64())], ["archive", "bytes"])
@@ -201,17 +202,25 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", body: st
         if held.tell():
             yield store()
 
-    plan_payloads(pages, key, body, uri).mapInArrow(pack, "archive string, bytes long").write.format("noop").mode("overwrite").save()
+    rows = plan_payloads(pages, key, body, uri).sortWithinPartitions("record_key", "payload_digest")
+    rows.mapInArrow(pack, "archive string, bytes long").write.parquet(f"{folder}/{MANIFEST}")
     return folder
 
 
+def archives_in(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of the archives in folder: those that its MANIFEST lists, else all *.warc.gz files."""
+    listed = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}")
+    if listed.getFileSystem(spark._jsc.hadoopConfiguration()).exists(listed):
+        return spark.read.schema("archive string, bytes long").parquet(f"{folder}/{MANIFEST}").select(F.concat(F.lit(f"{folder}/"), "archive").alias("path"), F.col("bytes").alias("length"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
+
+
 def read_warc(spark: SparkSession, folder: str, range_bytes: int = 4 << 20) -> DataFrame:
-    """One row per record of the *.warc.gz files in folder, read in byte ranges of range_bytes.
+    """One row per record of the archives in folder, read in byte ranges of range_bytes.
 
     Damaged members and bytes between members are passed over. Payloads of revisits are empty.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("first"))
+    ranges = archives_in(spark, folder).select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("first"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
