@@ -204,7 +204,11 @@ def worker_codec(ranks_path: str, pattern: str) -> tuple[ByteBPE, ChunkEncoder]:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids) of every text; null and empty texts have no ids. Other columns are ignored."""
+    """(key, ids) of every row; null and empty texts have no ids.
+
+    Repeated rows give equal rows. A text is encoded as a whole by one task, however long; memory follows its longest match of the
+    pattern and its ids. An empty table gives no rows. Other columns are ignored.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,19 +226,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
-    """Add the bytes that ids stand for; null ids give no bytes. Bytes that are no UTF-8 stay as they are."""
-    names = encoded.columns
+    """Add the bytes that ids stand for, in place of a column of that name if there is one.
+
+    Null ids give no bytes; bytes that are no UTF-8 stay as they are. Repeated rows give equal bytes each; an empty table gives
+    no rows. A row's ids are decoded as a whole, however many.
+    """
+    others = [f for f in encoded.schema.fields if f.name != to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, _ = worker_codec(ranks_path, pattern)
         for batch in batches:
-            column = batch.column(names.index(ids))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                data = pa.array([codec.decode(x or []) for x in column.slice(at, 256).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, data], [*names, to])
+                data = pa.array([codec.decode(x or []) for x in part.column(0).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], data], [*(f.name for f in others), to])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(to, T.BinaryType())]))
+    return encoded.select(F.col(ids).alias("_ids"), *[f.name for f in others]).mapInArrow(run, T.StructType([*others, T.StructField(to, T.BinaryType())]))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Known chunks that a worker keeps; beyond it, it starts over.
-KEPT = 500_000
+#: Known chunks that a worker keeps, beyond which it starts over, and the longest chunk that it keeps.
+KEPT, LONGEST = 500_000, 64
 
 
 class ChunkEncoder:
@@ -39,4 +39,9 @@ class ChunkEncoder:
         known.update(zip(words, self.encode_many([" " + w for w in words]), strict=True))
         whole = sorted(odd)
         ids_of = dict(zip(whole, self.encode_many([texts[k] for k in whole]), strict=True))
-        return [ids_of[k] if k in odd else first[head] + b"".join(map(known.__getitem__, cut[k]) if k in new else found[k]) for k, head in enumerate(heads)]
+        out = [ids_of[k] if k in odd else first[head] + b"".join(map(known.__getitem__, cut[k]) if k in new else found[k]) for k, head in enumerate(heads)]
+        for of, names in ((known, words), (first, fresh)):
+            for w in names:
+                if len(w) > LONGEST:
+                    del of[w]
+        return out

@@ -1,7 +1,7 @@
 """Sequence packing along a space-filling curve.
 
 Hashed word counts of each document are projected to a few dimensions; the Hilbert key of that point orders the documents
-so that neighbours on the curve are alike. Range partitions of the curve are packed side by side: the documents of a
+so that neighbours on the curve are alike. Partitions of the curve are packed side by side: the documents of a
 partition form one stream of ids that is cut every 1024 ids, and the rest at the end is cut into powers of two, so that
 no sequence needs padding.
 """
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,8 @@ SEQUENCE = 1024
 END_ID = 0
 #: Dimensions of the projection, and bits of each coordinate.
 DIMS, BITS = 4, 12
-#: Ids in one range partition of the curve, about.
-PARTITION_IDS = 4 << 20
+#: Ids in one partition of the curve, about; ids that one entry of the sample for its bounds stands for; bounds at most.
+PARTITION_IDS, SAMPLE_IDS, RANGES = 4 << 20, 1 << 14, 1024
 _encoders: dict[str, Encoder] = {}
 
 
@@ -142,17 +142,40 @@ def cut_points(total: int) -> np.ndarray:
     return np.cumsum([0, *sizes])
 
 
+def partition_of(ids: DataFrame) -> tuple[Column, int]:
+    """The partition of each document, in order of the curve, and their number: about PARTITION_IDS ids in each.
+
+    The curve is cut into at most RANGES ranges of about equally many ids, by a sample that takes documents in proportion to
+    their ids. A range that holds more than a partition's ids, as one of many copies does, is dealt over several by key. The
+    driver gets the bounds and sums of the ranges.
+    """
+    entries = F.floor((F.col("n_ids") + F.pmod(F.xxhash64("k"), F.lit(SAMPLE_IDS))) / SAMPLE_IDS).cast("int")
+    total = ids.agg(F.coalesce(F.sum("n_ids"), F.lit(0))).first()[0]
+    ranges = min(RANGES, max(1, round(total / PARTITION_IDS)))
+    bounds: list[int] = []
+    if ranges > 1:
+        sample = ids.select("curve", entries.alias("n")).where("n > 0").select(F.explode(F.sequence(F.lit(1), F.col("n"))), "curve")
+        shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+        bounds = sorted(set(sample.agg(F.percentile_approx("curve", shares, F.lit(10_000)).alias("b")).first()["b"] or ()))
+    number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("curve"))) if bounds else F.lit(0)
+    sums = dict(ids.groupBy(number.alias("r")).agg(F.sum("n_ids")).collect())
+    spread = [max(1, round(sums.get(r, 0) / PARTITION_IDS)) for r in range(len(bounds) + 1)]
+    first = np.cumsum([0, *spread])
+    at = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), number)
+    return (at(first[:-1]) + F.pmod(F.xxhash64("k"), at(spread))).cast("int"), int(first[-1])
+
+
 def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pack all documents into sequences; one row per piece.
 
     Columns: key, start (its document's ids before it), length, doc_tokens, sequence_id, offset (in the sequence) and
     ids (32-bit little-endian). Null and empty texts are the end id alone; an empty table gives no rows; repeated texts lie next to
-    each other, dealt over partitions by key. Other columns are ignored.
+    each other, many of them in partitions by key. Repeated rows, null keys, too, are packed one by one. A text is
+    encoded as a whole by one task, however long. Other columns are ignored.
     """
     kind = docs.schema[key].dataType
     ids = materialize(tokenized(docs, path, key, text))
-    total = ids.agg(F.coalesce(F.sum("n_ids"), F.lit(0))).first()[0]
-    parts = max(1, round(total / PARTITION_IDS))
+    number, parts = partition_of(ids)
     schema = T.StructType([T.StructField("k", kind)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")] + [T.StructField("ids", T.BinaryType())])
     step = 256 * SEQUENCE
 
@@ -198,7 +221,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str =
         if size:
             yield out(True)
 
-    return ids.repartitionByRange(parts, "curve", "k").sortWithinPartitions("curve", "k").select("k", "ids").mapInArrow(run, schema).withColumnRenamed("k", key)
+    return ids.repartitionById(parts, number).sortWithinPartitions("curve", "k").select("k", "ids").mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

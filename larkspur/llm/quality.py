@@ -198,7 +198,11 @@ def rejects(rules: list[list[Term]], s: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> list[list[Term]]:
-    """Learn the rules from at most rows labelled rows; those that fail the base limits and null labels teach nothing."""
+    """Learn the rules from at most rows labelled rows; those that fail the base limits and null labels teach nothing.
+
+    Repeated labels of a key teach as one, by their minimum, and repeated rows of a document by their least statistics. Values that
+    tie at a threshold fall on one side of it together. Empty tables give no rules.
+    """
     sample = (
         labels.where(F.col(label).isNotNull())
         .groupBy(key)
@@ -211,6 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     seen = docs.select(key, text).join(F.broadcast(sample), key)
     got = (
         seen.select(F.xxhash64(key).alias("o"), (F.col("_y") == 0).alias("bad"), (F.xxhash64(F.col(key), F.lit(1)) % 3 == 0).alias("held"), _bind(statistics(F.col(text)), lambda s: F.struct(base_failed(s).alias("failed"), *[c.alias(k) for k, c in features(s).items()])).alias("s"))
+        .groupBy("o", "bad", "held")  # a key that many rows have teaches once
+        .agg(F.min("s").alias("s"))
         .orderBy("o")
         .collect()
     )
@@ -220,7 +226,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
 
 def verdict(text: Column, rules: list[list[Term]]) -> Column:
-    """A struct for a text: its statistics, base_failed, rule (the rejecting one, 0 for none) and kept."""
+    """A struct for a text: its statistics, base_failed, rule (the rejecting one, 0 for none) and kept.
+
+    A null or empty text has no words and fails the base limits. It is an expression of the row, so repeated rows get equal
+    verdicts and an empty table none; a text of any length is judged as a whole.
+    """
 
     def judge(s: Column) -> Column:
         counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -184,7 +184,11 @@ def text_batches(column: pa.Array, limit: int = 4 << 20) -> Iterator[list[str]]:
 
 
 def count_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", limit: int = OVER_LIMIT) -> DataFrame:
-    """(key, n_bytes, n_tokens, over_limit) of every text; null and empty texts have none. Other columns are ignored."""
+    """(key, n_bytes, n_tokens, over_limit) of every row; null and empty texts have no bytes and no tokens.
+
+    Repeated rows give equal rows. A text is counted as a whole by one task, however long; the merge loop's memory is bounded but
+    for its longest pre-token. An empty table gives no rows. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counter(model)
