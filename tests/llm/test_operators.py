@@ -2,10 +2,12 @@
 
 import hashlib
 import json
+import math
 import random
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -52,6 +54,19 @@ def texts():
     return {row[0]: row[1] or "" for row in corpus()}
 
 
+def test_word_hashes_tell_patterned_words_apart():
+    import pyarrow as pa
+
+    a, b = "a", "b"
+    for _ in range(12):  # words on which hashes by powers of one base agree
+        a, b = a + b, b + a
+    column = [a, b, a[:1024], b[:1024], "ab" * 32, "ba" * 32, "x" * 64, "x" * 65, "x" * 128]
+    (part,) = common.slices(pa.array(column))
+    assert len(set(common.Words(part).hashes.tolist())) == len(column)
+    (both,) = common.slices(pa.array([a.upper(), a]))
+    assert len(set(common.Words(both, lower=True).hashes.tolist())) == 1
+
+
 def test_word_hashes_find_the_words():
     import pyarrow as pa
 
@@ -90,6 +105,25 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).collect() == []
 
 
+def test_packing_splits_by_ids(spark, monkeypatch):
+    """Partitions of equally many ids: very long texts, and copies that lie at one place of the curve."""
+    monkeypatch.setattr(packing, "PARTITION_IDS", 3000)
+    monkeypatch.setattr(packing, "SAMPLE_IDS", 64)
+    r = random.Random(7)
+    rows = [(k, " ".join(r.choice(["oak", "elm", "fir", "yew", "ash"]) + str(r.randrange(500)) for _ in range(r.choice([5, 30, 200])))) for k in range(150)]
+    rows += [(200 + k, "the same copy again and again " * 5) for k in range(300)] + [(900, "long text " * 4000), (None, "x"), (None, "x"), (200, "the same copy again and again " * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(df, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset").collect()
+    assert Counter(x["doc_id"] for x in got if x["start"] == 0) == Counter(k for k, _ in rows)
+    size, used = Counter(), Counter()
+    for x in got:
+        size[x["sequence_id"] >> 36] += x["length"]
+        used[x["sequence_id"]] += x["length"]
+    assert sum(size.values()) == sum(x["doc_tokens"] for x in got if x["start"] == 0)
+    assert len(size) > 8 and sorted(size.values())[-2] < 7000
+    assert all(n == 1024 or n & (n - 1) == 0 for n in used.values())
+
+
 def test_hilbert_neighbours_touch():
     points = np.array([[a, b, c] for a in range(8) for b in range(8) for c in range(8)])
     keys = packing.hilbert_keys(points, 3)
@@ -123,6 +157,9 @@ def test_byte_bpe(docs, empty):
     assert {r["doc_id"]: r["ids"] for r in rows} == {k: library.encode_ordinary(t) for k, t in texts().items()}
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in rows} == texts()
     assert byte_bpe.encode(empty, path, pattern).collect() == []
+    clash = byte_bpe.encode(docs.union(docs), path, pattern).withColumn("decoded", F.lit(1))
+    back = byte_bpe.decode(clash, path, pattern)
+    assert back.columns == ["doc_id", "ids", "decoded"] and Counter(x["doc_id"] for x in back.collect()) == {k: 2 for k in texts()}
     codec = byte_bpe.ByteBPE(ranks, pattern)
     r = random.Random(9)
     odd = ["a", "the", " ", "  ", "\n", "\t", "日本", "😀", "\x1c", "\x85", "\xa0", "'s", "12", "!!", "<|endoftext|>", "\r\n", "　"]
@@ -191,6 +228,14 @@ def plain_statistics(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside)
 
 
+def test_embedding_join_repeated_rows(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(size=(4, 8))
+    rows = [(1, base[0].tolist(), 1), (1, base[0].tolist(), 1), (2, (base[0] * 1.01 + 0.01).tolist(), 1), (3, base[1].tolist(), 1), (None, base[1].tolist(), 1), (4, base[2].tolist(), 2), (4, base[3].tolist(), 2)]
+    got = sorted(tuple(x) for x in embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect() if x["vec_id"] is not None)
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 0, 4, True), (4, 0, 4, True)]
+
+
 def test_quality(spark, docs, empty):
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     labels = spark.createDataFrame([(row[0], 1) for row in corpus()] + [(999, 0), (None, 1), (0, None)], "doc_id long, quality int")
@@ -204,6 +249,59 @@ def test_quality(spark, docs, empty):
     assert quality.fit(empty, labels) == []
 
 
+def plain_features(text):
+    words, chars, symbols, dup, repeated = plain_statistics(text)
+    w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    solid = "".join(w)
+    return {"words": words, "mean_word": chars / max(words, 1), "symbols": symbols / max(words, 1), "dup_lines": dup / max(len(lines), 1), "repeated": repeated / max(words, 1), "bangs": solid.count("!") / max(words, 1), "capitals": sum("A" <= c <= "Z" for c in solid) / max(len(solid), 1), "distinct": len(set(w)) / max(words, 1)}
+
+
+def plain_rule(rules, text):
+    x = plain_features(text)
+    return next((k for k, rule in enumerate(rules, 1) if all(x[t.feature] >= t.threshold if t.above else x[t.feature] <= t.threshold for t in rule)), 0)
+
+
+def quality_corpus():
+    """Good and bad documents, told apart by symbols; the bad ones are a quarter."""
+    r = random.Random(31)
+    rows = []
+    for k in range(400):
+        words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(r.randint(25, 60))]
+        if k % 4 == 0:
+            words = [w + r.choice(["#", "##", "$&"]) if r.random() < 0.6 else w for w in words]
+        rows.append((k, " ".join(words), int(k % 4 != 0)))
+    return rows
+
+
+def test_quality_rules_reject(spark):
+    term, rows = quality.Term, quality_corpus()
+    texts_of = [t for _, t, _ in rows] + ["a b# " * 20, "ab# cd " * 20, None, ""]
+    on_threshold = plain_features(texts_of[0])["symbols"]
+    rules = [[term("symbols", True, on_threshold)], [term("mean_word", False, 4.0), term("words", True, 30.0)], [term("capitals", True, 0.5)]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts_of)], "doc_id long, text string")
+    got = {x["doc_id"]: x["v"] for x in df.select("doc_id", quality.verdict(F.col("text"), rules).alias("v")).collect()}
+    found = set()
+    for k, t in enumerate(texts_of):
+        want = plain_rule(rules, t or "")
+        found.add(want)
+        assert got[k]["rule"] == want and got[k]["kept"] == (want == 0 and not got[k]["base_failed"])
+    assert found == {0, 1, 2} and got[0]["rule"] == 1
+
+
+def test_quality_learns_from_labels(spark):
+    rows = quality_corpus()
+    docs = spark.createDataFrame([(k, t, "x") for k, t, _ in rows], "doc_id long, text string, kept string")
+    labels = [(k, y) for k, _, y in rows if k % 5]
+    labels += [(labels[0][0], 1), (labels[1][0], None), (None, 0), (7777, 0)]  # a label of two values counts as the lower one
+    rules = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert rules and rules[0][0].feature == "symbols"
+    unseen = {k: y for k, _, y in rows if k % 5 == 0}
+    got = {x["doc_id"]: x["v"]["kept"] for x in docs.select("doc_id", quality.verdict(F.col("text"), rules).alias("v")).collect()}
+    assert np.mean([got[k] == bool(y) for k, y in unseen.items()]) > 0.95
+    twice = docs.union(docs)
+    assert quality.fit(twice, spark.createDataFrame(labels, "doc_id long, quality int"))[0][0].feature == "symbols"
+
+
 def test_decision_list_learns_a_conjunction():
     r = np.random.default_rng(1)
     x = r.random((3000, 3))
@@ -274,6 +372,23 @@ def test_substring_repeats_inside_one_document(spark):
     assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got} == want
 
 
+def test_substring_repeated_rows(spark):
+    r = random.Random(12)
+    fresh = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    shared, twin = fresh(60), fresh(90)
+    first, second = f"{fresh(9)} {shared} {fresh(9)} {shared}", f"{fresh(30)} {shared} {twin}"
+    rows = [(1, first), (1, first), (2, second), (2, second), (2, f"{twin} {fresh(10)}"), (2, second + "  "), (3, twin), (3, twin), (None, first), (4, None), (4, None)]
+    want, seen = [], {}
+    for k, t in sorted(rows, key=lambda x: x[0] or 0):
+        w, cut = WORD.findall(t or ""), set()
+        for i in range(len(w) - 49):
+            if k is not None and seen.setdefault(tuple(w[i : i + 50]), k) < k:
+                cut.update(range(i, i + 50))
+        want.append((k, len(w), len(cut), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in cut).encode()).hexdigest()))
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in got), key=str) == sorted(want, key=str)
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     words = [f"w{k}" for k in range(300)]
@@ -296,6 +411,72 @@ def test_toxicity(spark):
     assert toxicity.score(none, toxicity.train(none, spark.createDataFrame([], "doc_id long, toxic int"))).collect() == []
 
 
+def plain_ftrl(rows):
+    """FTRL-proximal with dictionaries, coordinate by coordinate."""
+    count = Counter(f for _, fs in rows for f in fs.tolist())
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        free = 0.0 if f == "bias" else toxicity.L1
+        if abs(z[f]) <= free:
+            return 0.0
+        return (math.copysign(free, z[f]) - z[f]) / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for k in order.permutation(len(rows)):
+            y, fs = rows[k]
+            active = [f for f in fs.tolist() if count[f] >= toxicity.LEAST_ROWS] + ["bias"]
+            w = {f: weight(f) for f in active}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in active:
+                sigma = (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA
+                z[f] += g - sigma * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in [*count, "bias"] if weight(f)}
+
+
+def test_learner_equals_plain_ftrl():
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(300):
+        f = np.unique(r.integers(0, 400, 30))
+        y = int(k % 5 == 0)
+        rows.append((y, (np.unique(np.r_[f, 1000, 1001]) if y else f).astype(np.int32)))
+    buckets, weights, bias = toxicity.learn(rows)
+    want = plain_ftrl(rows)
+    assert abs(want.pop("bias") - bias) < 1e-9
+    assert dict(zip(buckets.tolist(), weights.tolist(), strict=True)) == pytest.approx(want)
+    assert {1000, 1001} <= set(buckets.tolist())
+
+
+def test_toxicity_features():
+    import pyarrow as pa
+
+    column = ["One two  two three ONE two", "", None, "a b", "x" * 100 + " y"]
+    (part,) = common.slices(pa.array(column))
+    owner, _ = toxicity.features(part)
+    for k, text in enumerate(column):
+        w = WORD.findall((text or "").translate(LOWER))
+        assert (owner == k).sum() == len(set(w)) + len(set(zip(w, w[1:], strict=False))) + len(set(zip(w, w[2:], strict=False)))
+
+
+def test_toxicity_repeated_rows_and_clashing_columns(spark):
+    r = random.Random(4)
+    rows = [(k, " ".join(r.choice(["sun", "rain", "wind", "snow", "hail"]) for _ in range(20)) + (" vile brute" if k % 4 == 0 else "")) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows] + [(1, None)], "doc_id long, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(once, labels)
+    again = toxicity.train(once.union(once).union(once.where("doc_id < 50")), labels)
+    assert all(np.array_equal(a, b) for a, b in zip(model, again, strict=True))
+    clash = once.limit(5).withColumn("score", F.lit("old")).withColumn("k", F.lit(1)).withColumn("_y", F.lit(2))
+    got = toxicity.with_score(clash.union(clash), model)
+    assert sorted(got.columns) == ["_y", "doc_id", "k", "score", "text"] and got.schema["score"].dataType.simpleString() == "double"
+    assert len({(x["doc_id"], x["score"]) for x in got.collect()}) == 5 and got.count() == 10
+    long = spark.createDataFrame([(1, "vile brute " * 300_000)], "doc_id long, text string")
+    assert toxicity.score(long, model).first()["score"] > 0.5
+
+
 def shingles(text):
     w = WORD.findall(text.translate(LOWER))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -311,6 +492,30 @@ def test_minhash(docs, empty):
     assert minhash.near_duplicates(empty).collect() == []
 
 
+def test_minhash_repeated_rows(spark):
+    r = random.Random(6)
+    words = [f"t{r.randrange(10**9)}" for _ in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-2], "x", "y"]), " ".join(f"u{r.randrange(10**9)}" for _ in range(60))
+    rows = [(5, text), (5, text), (7, near), (7, near), (8, other), (9, other), (9, other), (None, text), (3, None), (3, None)]
+    got = sorted((tuple(x) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, 56, 5, True)] * 2 + [(7, 56, 5, False)] * 2 + [(8, 56, 8, True)] + [(9, 56, 8, False)] * 2 + [(None, 56, 5, True)] + [(3, 0, 3, True)] * 2, key=str)
+
+
+def test_minhash_pages_of_one_form(spark):
+    """A hot bucket of documents that share most words but are no near-duplicates, and a few that are."""
+    r = random.Random(16)
+    form = [f"f{k}" for k in range(140)]
+    fill = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    texts_of = {k: form + fill(50) for k in range(150)}
+    for k in range(0, 30, 3):
+        texts_of[200 + k] = texts_of[k][:-6] + fill(6)
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in texts_of.items()], "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(df).collect()}
+    sets = {k: shingles(" ".join(w)) for k, w in texts_of.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert got == roots(sets, links) and len(links) == 10
+
+
 def test_warc(spark, tmp_path):
     body = "<p>" + "long payload " * 20
     rows = [(4, "http://a", body), (2, "http://b", body), (9, None, body), (1, "u", "short"), (3, "u", "short"), (5, "u\r\nx", None), (6, "u", ""), (None, "u", body + "!"), (7, "u", "\x1f\x8b\x08 WARC/1.1\r\n" * 20)]
@@ -326,6 +531,20 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(spark, none).collect() == []
 
 
+def test_warc_passes_over_what_other_attempts_left(spark, tmp_path):
+    rows = [(k, "u", f"page {k} " * 40) for k in range(50)] + [(7, "u", "page 7 " * 40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_key", F.lit(0)).repartition(3)
+    folder = warc.write_archives(df, f"file://{tmp_path}/w")
+    written = sorted((tmp_path / "w").glob("part-*.warc.gz"))
+    (tmp_path / "w" / "part-00000-00001-99.warc.gz").write_bytes(written[0].read_bytes())
+    (tmp_path / "w" / "other.warc.gz").write_bytes(written[0].read_bytes()[:100])
+    got = sorted(int(r["record_id"]) for r in warc.read_warc(spark, folder).collect())
+    assert got == sorted(r[0] for r in rows)
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "a.warc.gz").write_bytes(b"".join(p.read_bytes() for p in written))
+    assert sorted(int(r["record_id"]) for r in warc.read_warc(spark, f"file://{tmp_path}/plain", 500).collect()) == got
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><script>var t="</p>";</script></head><body><nav><a href=/>menu {k}</a></nav>
 <div class="ad">buy {k}</div><aside>side</aside><article><h1>Head {k}</h1><p class=teaser>Read with us</p><p><b>One &amp; two<br>three {k}<p>Fou<i>r</i>   five&nbsp;six {k}
 <form>mail</form><ul><li>a {k}<li>b {k}</ul><div id="comments"><p>hater {k}</p></div></article><footer>&copy; {k}</footer></body>"""
@@ -343,21 +562,97 @@ def test_html(spark):
     assert html_text.main_text(df.where("false")).collect() == []
 
 
-def test_template_tells_constant_nodes():
-    states = [html_text.page_template(f"<body><div><p>Same line</p><section>own text {k}</section></div></body>") for k in range(10)]
-    one = states[0]
-    for s in states[1:]:
-        html_text.combine(one, s)
-    assert html_text.extract("<body><div><p>Same line</p><section>and a new own text</section></div></body>", one) == "and a new own text"
-
-
-def test_full_template_still_counts_pages(monkeypatch):
-    monkeypatch.setattr(html_text, "TEMPLATE_NODES", 3)
-    state = lambda page: html_text.zlib.compress(html_text.pickle.dumps(html_text.page_template(page).state()), 1)
-    pages = [f"<body><div><p>{'Old' if k < 2 else 'New'} line</p><h2>the own and longer text of page {k}</h2></div></body>" for k in range(20)]
-    one = html_text.Slot.of(html_text.pickle.loads(html_text.zlib.decompress(html_text.merge_templates([state(p) for p in pages]))))
-    assert one.pages == one.kids[0].kids[0].kids[0].pages == 20
-    assert html_text.extract(pages[5], one) == "the own and longer text of page 5"
+def plain_wrapper(sources):
+    """A host's wrapper by plain counting over its pages, all in one place."""
+    pages = [html_text.parse(x) for x in sources]
+    shapes = [html_text.shape_of(p) for p in pages]
+    n = Counter(shape for shape, _ in shapes)
+    tree = html_text.merged(list(n.items()))
+    root = html_text.read(tree)
+    slots = {shape: html_text.aligned(root, html_text.read(shape)) for shape in n}
+    having, pages_of, chars, links = Counter(), Counter(), Counter(), Counter()
+    for page, (shape, numbers) in zip(pages, shapes, strict=True):
+        having.update(set(slots[shape]) - {-1})
+        keys = [(slots[shape][numbers[b]], html_text.text_hash(t)) for b, t, _ in page.texts]
+        pages_of.update(k for k in set(keys) if k[0] >= 0)
+        for k, (_, t, link) in zip(keys, page.texts, strict=True):
+            chars[k] += len(t)
+            links[k] += link
+    constants = {k for k, c in pages_of.items() if c >= html_text.SHARE * max(having[k[0]], html_text.LEAST_PAGES)}
+    stats = {slot: [0, 0, 0] for slot, _ in pages_of}
+    for k, c in pages_of.items():
+        own = stats[k[0]]
+        own[0] += c
+        if k not in constants:
+            own[1] += chars[k]
+            own[2] += links[k]
+    return html_text.Wrapper(tree, [(slot, *own) for slot, own in stats.items()], constants)
+
+
+def site(r, n, named=True):
+    """n pages of a host: menu, constant line, advert, article of varying paragraphs with a constant one among them, footer."""
+    words = lambda k: " ".join(r.choice(["sea", "hill", "corn", "bell", "lamp", "tide", "moss"]) + str(r.randrange(99)) for _ in range(k))
+    pages = []
+    for k in range(n):
+        own = [words(r.randint(8, 60)) for _ in range(r.randint(9, 14))]
+        lines = [f"<p>{x}</p>" for x in own]
+        lines.insert(r.randrange(len(lines)), "<p>Printed with the kind leave of the owner</p>")
+        title = words(4)
+        body = f"<h1>{title}</h1>" + "".join(lines) + "<ul>" + "".join(f"<li><a href=/>{words(3)}</a></li>" for _ in range(5)) + "</ul>"
+        menu = "<ul>" + "".join(f"<li><a href=/>{words(1)}</a></li>" for _ in range(6)) + "</ul>"
+        tags = ("nav", 'div class="ad"', "article", "footer") if named else ("div",) * 4
+        shut = [t.split()[0] for t in tags]
+        parts = (menu, words(6), body, f"From {words(5)}")
+        pages.append(("<body>" + "".join(f"<{t}>{x}</{c}>" for t, x, c in zip(tags, parts, shut, strict=True)), "\n\n".join([title, *own])))
+    return pages
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_wrapper_finds_the_article(named):
+    pages = site(random.Random(8), 30, named)
+    wrapper = plain_wrapper([p for p, _ in pages])
+    assert [html_text.extract(p, wrapper) for p, _ in pages] == [want for _, want in pages]
+
+
+@pytest.mark.parametrize("group", [2000, 3])
+def test_wrapper_equals_a_plain_one(spark, monkeypatch, group):
+    monkeypatch.setattr(html_text, "MERGED", group)
+    r = random.Random(21)
+    hosts = {"a.example": site(r, 25), "b.example": site(r, 40, False), "c.example": site(r, 3)}
+    hosts["d.example"] = [("<div>" * r.randint(1, 40) + f"<p>{r.random()}</p><div class=x{k}>tail</div>", None) for k in range(30)]
+    rows = [(k, f"https://{h}/{k}", p) for h, pages in hosts.items() for k, (p, _) in enumerate(pages)]
+    rows += rows[:5]
+    want = []
+    for h, pages in hosts.items():
+        sources = [x[2] for x in rows if h in x[1]]
+        wrapper = plain_wrapper(sources) if len(sources) >= html_text.LEAST_PAGES else None
+        want += [(x[0], x[1], html_text.extract(x[2], wrapper)) for x in rows if h in x[1]]
+    for parts in (1, 7):  # the layout of the table makes no difference
+        if group == 3 and parts == 1:
+            continue
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        assert sorted(tuple(x) for x in html_text.main_text(df).collect()) == sorted(want)
+
+
+def test_pages_of_any_depth_and_width():
+    deep = ["<div>" * 100_000 + "text", "<b>" * 100_000 + "<p>text", "<ul><li>" * 50_000 + "text", "<table><tr><td>" * 20_000 + "text"]
+    for source in deep:
+        page = html_text.parse(source)
+        wrapper = html_text.wrapper_of(html_text.merged([(html_text.shape_of(page)[0], 9)]), None, None)
+        assert wrapper.extract(page) == html_text.by_names(page) == "text"
+    wide = html_text.shape_of(html_text.parse("<p>a</p><div>b</div>" * 2000))[0]
+    other = html_text.shape_of(html_text.parse("<div>c</div><p>d</p>" * 1800))[0]
+    began = time.time()
+    html_text.merged([(wide, 5), (other, 4)])
+    assert time.time() - began < 5
+
+
+def test_wrapper_keeps_the_common_slots(monkeypatch):
+    monkeypatch.setattr(html_text, "SLOTS", 12)
+    pages = [f"<body><div class=x><p>Old line</p><h2>own text of page {k} and more</h2></div>" + "".join(f"<div class={'abcdefgh'[k % 8]}{'ijklmnop'[j]}>t</div>" for j in range(8)) for k in range(40)]
+    wrapper = plain_wrapper(pages)
+    assert wrapper.root.size <= 12 and wrapper.pages == 40
+    assert "Old line" not in html_text.extract(pages[33], wrapper)
 
 
 def test_queries_are_registered():
