@@ -634,6 +634,12 @@ def test_wrapper_equals_a_plain_one(spark, monkeypatch, group):
         assert sorted(tuple(x) for x in html_text.main_text(df).collect()) == sorted(want)
 
 
+def test_page_unlike_its_host_keeps_its_text():
+    wrapper = plain_wrapper([p for p, _ in site(random.Random(8), 30)])
+    other = "<table><tr><td><div><p>One line</p></div></td><td><div><p>Another line</p></div></td></tr></table><div class=comments>no</div>"
+    assert html_text.extract(other, wrapper) == "One line\n\nAnother line"
+
+
 def test_pages_of_any_depth_and_width():
     deep = ["<div>" * 100_000 + "text", "<b>" * 100_000 + "<p>text", "<ul><li>" * 50_000 + "text", "<table><tr><td>" * 20_000 + "text"]
     for source in deep:
