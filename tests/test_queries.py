@@ -2,13 +2,14 @@
 
 import datetime
 import decimal
+import os
 
 import duckdb
 import pytest
 
 from larkspur.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("LARKSPUR_SF", "/root/testdata/sf0.001")
 
 
 def norm(v):
