@@ -53,8 +53,12 @@ def basis_of(rows: list[tuple]) -> dict[int, np.ndarray]:
     out = {}
     for width, groups in by_width.items():
         x = np.concatenate([(u := units(np.array(g))) - u.mean(axis=0) for g in groups.values()])
-        _, vectors = np.linalg.eigh(x.T @ x)
-        out[width] = np.ascontiguousarray(vectors[:, ::-1][:, :DIMS])
+        # by subspace iteration, whose memory grows with the width and not with its square
+        basis = np.random.default_rng(1).normal(size=(width, min(width, 2 * DIMS)))
+        for _ in range(8):
+            basis, _ = np.linalg.qr(x.T @ (x @ basis))
+        _, _, turn = np.linalg.svd(x @ basis, full_matrices=False)
+        out[width] = np.ascontiguousarray((basis @ turn.T)[:, :DIMS])
     return out
 
 

@@ -141,6 +141,7 @@ def test_token_counts(docs, empty):
     assert {r["doc_id"]: r["n_bytes"] for r in rows} == {k: len(t.encode()) for k, t in texts().items()}
     assert {r["doc_id"] for r in rows if r["over_limit"]} == {k for k, t in texts().items() if len(library.encode(t)) > 4096}
     assert token_count.count_tokens(empty, model).collect() == []
+    assert Counter(x["doc_id"] for x in token_count.count_tokens(docs.union(docs).withColumn("n_tokens", F.lit("x")), model).collect()) == {k: 2 for k in texts()}
     r = random.Random(5)
     odd = ["a", "the", "in", " ", "  ", "▁", "<s>", "<unk>", "日", "😀", "\x00", "ing", "\n", "<0x0A>", "é"]
     many = ["".join(r.choice(odd) for _ in range(r.randint(0, 50))) for _ in range(2000)] + [" " * k for k in range(70)] + ["ab" * k for k in range(60)]
@@ -236,6 +237,14 @@ def test_embedding_join_repeated_rows(spark):
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 0, 4, True), (4, 0, 4, True)]
 
 
+def test_embedding_join_wide_vectors(spark):
+    r = np.random.default_rng(9)
+    a = r.normal(size=20_000)
+    rows = [(1, a.tolist(), 1), (2, (a + 0.05 * r.normal(size=20_000)).tolist(), 1), (3, (a + 0.5 * r.normal(size=20_000)).tolist(), 1), (4, a.tolist(), 2)]
+    got = sorted(tuple(x) for x in embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
 def test_quality(spark, docs, empty):
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     labels = spark.createDataFrame([(row[0], 1) for row in corpus()] + [(999, 0), (None, 1), (0, None)], "doc_id long, quality int")
@@ -531,6 +540,16 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(spark, none).collect() == []
 
 
+def test_warc_long_payloads(spark, tmp_path):
+    r = random.Random(3)
+    body = "".join(chr(r.randrange(33, 9000)) for _ in range(1_500_000))
+    rows = [(1, "u", body), (2, "u", body), (3, "u", "x" * 99), (4, "u", "x" * 99), (5, "u", "y" * 100), (6, "u", "y" * 100)]
+    folder = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = {int(x["record_id"]): x for x in warc.read_warc(spark, folder, 1 << 18).collect()}
+    assert {k: x["refers_to"] for k, x in got.items()} == {1: None, 2: "1", 3: None, 4: None, 5: None, 6: "5"}
+    assert bytes(got[1]["payload"]).decode() == body and got[2]["payload_bytes"] == len(body.encode())
+
+
 def test_warc_passes_over_what_other_attempts_left(spark, tmp_path):
     rows = [(k, "u", f"page {k} " * 40) for k in range(50)] + [(7, "u", "page 7 " * 40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_key", F.lit(0)).repartition(3)
@@ -634,6 +653,13 @@ def test_wrapper_equals_a_plain_one(spark, monkeypatch, group):
         assert sorted(tuple(x) for x in html_text.main_text(df).collect()) == sorted(want)
 
 
+def test_long_pages():
+    lines = [f"Line {k} of a very long page" for k in range(60_000)]
+    pages = [f"<body><div><a href=x>menu {k}</a></div><div><h1>Page {k}</h1>{''.join(f'<p>{x} {k}</p>' for x in (lines if k == 3 else lines[:9]))}</div></body>" for k in range(9)]
+    wrapper = plain_wrapper(pages)
+    assert html_text.extract(pages[3], wrapper) == "\n\n".join(["Page 3", *(f"{x} 3" for x in lines)])
+
+
 def test_page_unlike_its_host_keeps_its_text():
     wrapper = plain_wrapper([p for p, _ in site(random.Random(8), 30)])
     other = "<table><tr><td><div><p>One line</p></div></td><td><div><p>Another line</p></div></td></tr></table><div class=comments>no</div>"
