@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Ranges into which an order is cut.
 RANGES = 64
+#: Types that have approximate percentiles; their accuracy, and how far from a share the bounds are that surely hold its value.
+NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz")
+ACCURACY, NEAR = 10_000, 0.001
 #: Rows of a key that are windowed together by sliding_rows.
 RUN = 1 << 16
 
@@ -24,7 +27,7 @@ def range_number(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
     range, so a result does not depend on where the bounds lie.
     """
     shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    numeric = df.select(F.col(order)).schema[0].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz")
+    numeric = df.select(F.col(order)).schema[0].dataType.typeName() in NUMERIC
     source = df.select(F.col(order).alias("v")).where("v IS NOT NULL")
     if numeric:
         found = source.agg(F.percentile_approx("v", shares, F.lit(1000)).alias("b"))
@@ -81,21 +84,28 @@ def sliding_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], befor
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, tuple[float, bool]]) -> DataFrame:
-    """A row for each key with the percentiles of value, named as in shares: (share, whether between values).
+    """A row for each key with the exact percentiles of value, named as in shares: (share, whether between values).
 
-    Values are counted first; a running total over the counts finds the ones at the places in question. NULLs don't count.
-    A discrete percentile is the first value at or above its share of the rows.
+    A first pass finds bounds a little below and above each share; a second one counts the values between them one by one,
+    and all others by the gap that they lie in. So no task sees more than a small part of a key's values. NULLs don't
+    count. A discrete percentile is the first value at or above its share of the rows.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    placed = running_total(counts, keys, [value], _up=F.col("_n"))
-    if keys:
-        same = F.lit(True)
-        for k in keys:
-            same &= placed[k].eqNullSafe(total[k])
-        placed = placed.join(total, same).select(*[placed[k] for k in keys], value, "_n", "_up", "_all")
+    plain = df.where(F.col(value).isNotNull()).select(*keys, value)
+    if plain.schema[value].dataType.typeName() in NUMERIC:
+        wide = lambda side: [F.lit(min(max(s + side * NEAR, 0.0), 1.0)) for s, _ in shares.values()]
+        marks = plain.groupBy(*keys).agg(F.percentile_approx(value, F.array(*wide(-1), *wide(1)), F.lit(ACCURACY)).alias("_m"))
+        placed = _with_keys(plain, marks, keys, ["_m"])
+        v, n = F.col(value), len(shares)
+        near = F.lit(False)
+        for k in range(n):
+            near |= (v >= F.get("_m", F.lit(k))) & (v <= F.get("_m", F.lit(n + k)))
+        gap = F.size(F.filter("_m", lambda m: m <= v))
+        cells = placed.groupBy(*keys, F.when(near, -1).otherwise(gap).alias("_gap"), F.when(near, v).alias("_v")).agg(F.count("*").alias("_n"), F.min(value).alias(value))
+        up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        placed = cells.withColumn("_up", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
     else:
-        placed = placed.join(F.broadcast(total))  # one row
+        counts = plain.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+        placed = _with_keys(running_total(counts, keys, [value], _up=F.col("_n")), counts.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys, ["_all"])
     low, out = F.col("_up") - F.col("_n"), []
     at = lambda place: F.max(F.when((place >= low) & (place < F.col("_up")), F.col(value)))
     for name, (share, between) in shares.items():
@@ -108,6 +118,17 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[
     return placed.groupBy(*keys).agg(*out)
 
 
+def _with_keys(df: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """df with columns of the other table's row of the same keys, NULLs equal; without keys that table has one row."""
+    if not keys:
+        return df.join(F.broadcast(other))
+    named = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *columns)
+    same = F.lit(True)
+    for k in keys:
+        same &= df[k].eqNullSafe(named[f"_k_{k}"])
+    return df.join(named, same).select(*df.columns, *columns)
+
+
 def mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The most frequent value of each key, of equally frequent ones the least."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))

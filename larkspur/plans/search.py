@@ -45,7 +45,7 @@ def _vectors(spark: SparkSession, sf_dir: str, query: T.Query) -> DataFrame:
 @register("text_match", f"SELECT doc_id FROM {EN} WHERE ({COUNT('the')} > 0 AND {COUNT('of')} = 0) OR {COUNT('der')} > 0")
 def text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = T.Query.parse("the & !of | der")
-    return _vectors(spark, sf_dir, query).where(query.matches(F.col("vector"))).select("doc_id")
+    return load(spark, sf_dir, "documents").where(query.matches_text(F.col("text"))).select("doc_id")
 
 
 @register("text_rank", f"SELECT doc_id, CAST({COUNT('the')} + {COUNT('la')} AS DOUBLE) AS score FROM {EN} WHERE {COUNT('the')} + {COUNT('la')} > 0 ORDER BY score DESC, doc_id LIMIT 25")
@@ -76,7 +76,7 @@ def text_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("text_query_rewrite", f"SELECT doc_id FROM {EN} WHERE {COUNT('die')} > 0 OR {COUNT('das')} > 0")
 def text_query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = T.Query.parse("article").rewrite({"article": T.Query.parse("die | das")})
-    return _vectors(spark, sf_dir, query).where(query.matches(F.col("vector"))).select("doc_id")
+    return load(spark, sf_dir, "documents").where(query.matches_text(F.col("text"))).select("doc_id")
 
 
 @register(

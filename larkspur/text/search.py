@@ -166,6 +166,17 @@ class Query:
             return rules.get(self.parts[0], self)
         return Query(self.op, *(p.rewrite(rules) for p in self.parts))
 
+    def matches_text(self, text: Column) -> Column:
+        """The boolean tree over the words of a text, as one expression that reads the text once."""
+
+        def of(query: Query, t: Column) -> Column:
+            if query.op == "word":
+                return F.array_contains(t, query.parts[0])
+            parts = [of(p, t) for p in query.parts]
+            return ~parts[0] if query.op == "!" else parts[0] & parts[1] if query.op == "&" else parts[0] | parts[1]
+
+        return F.get(F.transform(F.array(tokens(text)), lambda t: of(self, t)), F.lit(0))
+
     def matches(self, vector: Column) -> Column:
         """The boolean tree over the lexemes of a vector."""
         if self.op == "word":
