@@ -51,7 +51,7 @@ def text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("text_rank", f"SELECT doc_id, CAST({COUNT('the')} + {COUNT('la')} AS DOUBLE) AS score FROM {EN} WHERE {COUNT('the')} + {COUNT('la')} > 0 ORDER BY score DESC, doc_id LIMIT 25")
 def text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = T.Query.parse("the | la")
-    return _vectors(spark, sf_dir, query).select("doc_id", T.ts_rank(F.col("vector"), query).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(25)
+    return load(spark, sf_dir, "documents").select("doc_id", T.text_rank(F.col("text"), query).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(25)
 
 
 @register("text_rank_cover", f"SELECT doc_id, round(CASE WHEN n > 1 THEN n / (1 + CAST(hi - lo AS DOUBLE) / (n - 1)) ELSE n / 2.0 END, 8) AS score FROM (SELECT doc_id, CAST(count(*) AS DOUBLE) AS n, min(p) AS lo, max(p) AS hi FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM {EN}) WHERE t IN ('the', 'la') GROUP BY doc_id)")

@@ -95,6 +95,11 @@ def to_tsvector(docs: DataFrame, key: str, text: str, config: str = "english") -
     return docs.select(key, vector(F.col(text), config).alias("vector")).where(F.size("vector") > 0)
 
 
+def whole_words(words: Sequence[str]) -> str:
+    """A pattern for occurrences of words as tokens finds them, in ASCII letters of either case."""
+    return f"(?i)(?<![a-z0-9_])(?:{'|'.join(sorted(words))})(?![a-z0-9_])"
+
+
 class Query:
     """A search query: & | ! and parentheses over lexemes."""
 
@@ -167,15 +172,11 @@ class Query:
         return Query(self.op, *(p.rewrite(rules) for p in self.parts))
 
     def matches_text(self, text: Column) -> Column:
-        """The boolean tree over the words of a text, as one expression that reads the text once."""
-
-        def of(query: Query, t: Column) -> Column:
-            if query.op == "word":
-                return F.array_contains(t, query.parts[0])
-            parts = [of(p, t) for p in query.parts]
-            return ~parts[0] if query.op == "!" else parts[0] & parts[1] if query.op == "&" else parts[0] | parts[1]
-
-        return F.get(F.transform(F.array(tokens(text)), lambda t: of(self, t)), F.lit(0))
+        """The boolean tree over the words of a text, each searched for up to its first occurrence."""
+        if self.op == "word":
+            return text.rlike(whole_words([self.parts[0]]))
+        parts = [p.matches_text(text) for p in self.parts]
+        return ~parts[0] if self.op == "!" else parts[0] & parts[1] if self.op == "&" else parts[0] | parts[1]
 
     def matches(self, vector: Column) -> Column:
         """The boolean tree over the lexemes of a vector."""
@@ -195,6 +196,11 @@ def ts_rank(vector: Column, query: Query) -> Column:
     return F.size(_positions(vector, query)).cast("double")
 
 
+def text_rank(text: Column, query: Query) -> Column:
+    """ts_rank of a text whose words are its lexemes, without its vector."""
+    return F.regexp_count(text, F.lit(whole_words(sorted(query.terms())))).cast("double")
+
+
 def ts_rank_cd(vector: Column, query: Query) -> Column:
     """Occurrences over one more than their mean gap, which is 1 for a single one."""
     at = _positions(vector, query)

@@ -105,6 +105,13 @@ def test_search(spark):
     assert one(spark, search.ts_headline(F.lit("one two three four"), search.Query.parse("three"), 2)).count("<b>three</b>") == 1
     with pytest.raises(ValueError):
         search.Query.parse("a &")
+    texts = [(k, t) for k, t in enumerate(["The cat", "the_cat", "CAT2 cats", "a-cat's", "scat cat", "", None, "Été cat", "xécat", "cat\nthe the"])]
+    df = spark.createDataFrame(texts, "id int, t string")
+    for text in ("cat", "!cat", "the & cat", "cats | !the"):
+        query = search.Query.parse(text)
+        vector = search.term_vector(F.col("t"), query.terms())
+        assert values(df.where(query.matches_text(F.col("t"))).select("id")) == values(df.where(F.col("t").isNotNull() & query.matches(vector)).select("id"))
+        assert values(df.where("t IS NOT NULL").select("id", search.text_rank(F.col("t"), query))) == values(df.where("t IS NOT NULL").select("id", search.ts_rank(vector, query)))
 
 
 def test_statistics(spark):
