@@ -11,9 +11,11 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,16 @@ from .token_count import text_batches
 
 #: White space as Unicode has it, the same in every pattern library.
 WHITE = r"\t-\r \x85\xa0  -     　"
-#: Known pattern matches and pairs in one generation of a worker; the last two generations are kept.
-KEPT = 400_000
-#: Known chunks; finding their matches again is cheap.
-KEPT_CHUNKS = 200_000
-_loaded: dict[tuple[str, str], ByteBPE] = {}
+#: Bytes of known pattern matches in one generation of a worker; the last two generations are kept. ENTRY: of a place in a dict.
+KEPT_BYTES, ENTRY = 72 << 20, 80
+#: Known pairs of tokens.
+KEPT_PAIRS = 400_000
+#: Known chunks in one generation; finding their matches again is cheap.
+KEPT_CHUNKS = 60_000
+#: Bytes of text that are encoded, and ids that are decoded, at once, unless one row alone is longer.
+TEXT_BYTES, IDS = 2 << 20, 1 << 18
+_loaded: dict[tuple[str, str], tuple[ByteBPE, ChunkEncoder]] = {}
+_tokens: dict[str, TokenBytes] = {}
 
 
 def portable(pattern: str) -> str:
@@ -84,6 +91,7 @@ class ByteBPE:
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _halves(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one, or None for a token that merging never makes."""
@@ -121,36 +129,39 @@ class ByteBPE:
         out = [-1] * (n + 1)
         if last:
             out[: done + 1] = last
-        begins, fits = self.begins, self.fits
+        token_of, fits, open_places = self.begins.get, self.fits.get, n - done
         for j in range(max(0, done - self.longest), n):
+            if not open_places:
+                break
             before = out[j] << 32
             for to in range(j + 1, n + 1):
-                part = data[j:to]
-                if part not in begins:
+                if out[to] >= 0:
+                    continue
+                token = token_of(data[j:to])
+                if token is None:
                     break
-                if out[to] < 0 and (token := begins[part]) >= 0:
-                    if not j:
+                if token >= 0:
+                    fit = not j or fits(before | token)
+                    if fit is None:
+                        fit = self._learn_fit(out[j], token)
+                    if fit:
                         out[to] = token
-                    else:
-                        fit = fits.get(before | token)
-                        if fit is None:
-                            fit = self._learn_fit(out[j], token)
-                        if fit:
-                            out[to] = token
+                        open_places -= 1
         return out
 
     def _learn_fit(self, left: int, right: int) -> bool:
-        if len(self.fits) > KEPT:
+        if len(self.fits) >= KEPT_PAIRS:
             self.fits.clear()
         fit = self.fits[left << 32 | right] = self.follows(left, right)
         return fit
 
     def read_back(self, last: list[int]) -> list[int]:
         """The encoding that a table of last tokens holds."""
-        out, at = [], len(last) - 1
+        out, at, bytes_of = [], len(last) - 1, self.bytes_of
         while at:
-            out.append(last[at])
-            at -= len(self.bytes_of[last[at]])
+            token = last[at]
+            out.append(token)
+            at -= len(bytes_of[token])
         return out[::-1]
 
     def edited(self, data: bytes, last: list[int], start: int, end: int, put: bytes) -> tuple[bytes, list[int]]:
@@ -175,25 +186,76 @@ class ByteBPE:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, one match of the pattern after the other."""
-        out = []
+        out, known = [], self.known
         for text in texts:
-            if len(self.known) > KEPT:
-                self.known, self.older = {}, self.known
-            known, parts = self.known, []
+            parts = []
             for piece in self.pattern.findall(text):
                 ids = known.get(piece)
                 if ids is None:
                     ids = self.older.get(piece) or self.encode_piece(piece)
                     if len(piece) < 64:
-                        known[piece] = ids
+                        known = self._keep(piece, ids)
                 parts.append(ids)
             out.append(b"".join(parts))
         return out
 
+    def _keep(self, piece: str, ids: bytes) -> dict[str, bytes]:
+        """The known matches with this one among them; a full generation becomes the older one."""
+        size = getsizeof(piece) + getsizeof(ids) + ENTRY
+        if self.held + size > KEPT_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        self.held += size
+        self.known[piece] = ids
+        return self.known
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class TokenBytes:
+    """The bytes of all tokens of a rank table as one array, for decoding without an object per id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.sizes = np.full(max(ranks.values()) + 1, -1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+        held = np.maximum(self.sizes, 0)
+        self.starts = np.cumsum(held) - held
+        self.data = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), dtype=np.uint8)
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The bytes of each list of ids; of null, none."""
+        flat = ids.flatten()
+        if flat.null_count:
+            raise ValueError("an id is null")
+        flat = flat.to_numpy()
+        if len(flat) and (flat.min() < 0 or flat.max() >= len(self.sizes) or (self.sizes[flat] < 0).any()):
+            raise ValueError("an id is not in the rank file")
+        sizes = self.sizes[flat]
+        ends = np.r_[0, np.cumsum(sizes)]
+        place = np.repeat(self.starts[flat] - ends[:-1], sizes)
+        place += np.arange(len(place))
+        counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        offsets = ends[np.r_[0, np.cumsum(counts, dtype=np.int64)]].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(self.data[place])])
+
+
+def token_bytes(ranks_path: str) -> TokenBytes:
+    """The worker's token bytes of a rank file."""
+    if ranks_path not in _tokens:
+        _tokens[ranks_path] = TokenBytes(read_ranks(ranks_path))
+    return _tokens[ranks_path]
+
+
+def runs(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Where to cut rows of these counts into runs of about limit, or of one row alone that has more."""
+    ends, at = np.cumsum(counts, dtype=np.int64), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield at, to
+        at = to
+
+
 def worker_codec(ranks_path: str, pattern: str) -> tuple[ByteBPE, ChunkEncoder]:
     """The worker's codec for a rank file, with its known chunks."""
     key = (ranks_path, pattern)
@@ -203,9 +265,12 @@ def worker_codec(ranks_path: str, pattern: str) -> tuple[ByteBPE, ChunkEncoder]:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", decoded: str | None = None) -> DataFrame:
     """(key, ids) of every row; null and empty texts have no ids.
 
+    decoded names a third column, the bytes that the ids stand for: as from decode, but by the same worker, as a further step in
+    Python takes as many workers again.
+
     Repeated rows give equal rows. A text is encoded as a whole by one task, however long; memory follows its longest match of the
     pattern and its ids. An empty table gives no rows. Other columns are ignored.
     """
@@ -213,16 +278,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, chunks = worker_codec(ranks_path, pattern)
+        tokens = token_bytes(ranks_path) if decoded else None
         for batch in batches:
             at = 0
-            for texts in text_batches(batch.column(1)):
+            for texts in text_batches(batch.column(1), TEXT_BYTES):
                 packed = chunks.encode(texts)
                 offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-                ids = np.frombuffer(b"".join(packed), dtype="<i4")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["k", "ids"])
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+                columns = [batch.column(0).slice(at, len(texts)), ids]
+                yield pa.RecordBatch.from_arrays([*columns, tokens.decode(ids)], ["k", "ids", "d"]) if tokens else pa.RecordBatch.from_arrays(columns, ["k", "ids"])
                 at += len(texts)
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>" + (", d binary" if decoded else ""))
+    return found.withColumnsRenamed({"k": key, "d": decoded} if decoded else {"k": key})
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -234,12 +302,12 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
     others = [f for f in encoded.schema.fields if f.name != to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, _ = worker_codec(ranks_path, pattern)
+        tokens = token_bytes(ranks_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                data = pa.array([codec.decode(x or []) for x in part.column(0).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], data], [*(f.name for f in others), to])
+            counts = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+            for at, end in runs(counts, IDS):
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], tokens.decode(part.column(0))], [*(f.name for f in others), to])
 
     return encoded.select(F.col(ids).alias("_ids"), *[f.name for f in others]).mapInArrow(run, T.StructType([*others, T.StructField(to, T.BinaryType())]))
 
@@ -249,7 +317,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern).select(
+    return encode(table(spark, sf_dir, "documents"), path, pattern, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),

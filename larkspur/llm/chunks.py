@@ -8,8 +8,10 @@ makes encoding a lookup. A text with any other space (before white space or at t
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import compress, repeat
+from operator import is_
 
-#: Known chunks that a worker keeps, beyond which it starts over, and the longest chunk that it keeps.
+#: Known chunks in one generation of a worker, of which the last two are kept, and the longest chunk that it keeps.
 KEPT, LONGEST = 500_000, 64
 
 
@@ -20,11 +22,12 @@ class ChunkEncoder:
         self.encode_many = encode_many
         self.kept = kept
         self.after_space: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.after_space) > self.kept:
-            self.after_space.clear()
+            self.after_space, self.older = {}, self.after_space
         if len(self.first) > self.kept // 10:
             self.first.clear()
         known, first = self.after_space, self.first
@@ -33,9 +36,12 @@ class ChunkEncoder:
         fresh = list({h for h in heads if h not in first})
         first.update(zip(fresh, self.encode_many(fresh), strict=True))
         found = [list(map(known.get, c)) for c in cut]
-        new = {k: {w for w, ids in zip(cut[k], parts, strict=True) if ids is None} for k, parts in enumerate(found) if None in parts}
-        odd = {k for k, words in new.items() if any(not w or w[0].isspace() for w in words)}
-        words = list(set().union(*(w for k, w in new.items() if k not in odd)))
+        new = {k: set(compress(cut[k], map(is_, parts, repeat(None)))) for k, parts in enumerate(found) if None in parts}
+        odd = {k for k, words in new.items() if any(not c or c.isspace() for c in {w[:1] for w in words})}
+        wanted = set().union(*(w for k, w in new.items() if k not in odd))
+        again = [w for w in wanted if w in self.older]
+        known.update((w, self.older[w]) for w in again)
+        words = list(wanted.difference(again))
         known.update(zip(words, self.encode_many([" " + w for w in words]), strict=True))
         whole = sorted(odd)
         ids_of = dict(zip(whole, self.encode_many([texts[k] for k in whole]), strict=True))

@@ -8,9 +8,11 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from sys import getsizeof
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +177,41 @@ def test_byte_bpe(docs, empty):
         assert table == codec.table_for(new)
 
 
+def test_byte_bpe_memory(spark, monkeypatch):
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = byte_bpe.read_ranks(path)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    # what a codec keeps is bounded by bytes, in one text as in many
+    monkeypatch.setattr(byte_bpe, "KEPT_BYTES", 200_000, raising=False)
+    codec = byte_bpe.ByteBPE(ranks, pattern)
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeghiklmnoprstu") for _ in range(r.randint(3, 60))) for _ in range(6000)]
+    for many in (["  ".join(words)], words, words[::-1]):
+        assert [np.frombuffer(p, "<u4").tolist() for p in codec.encode_many(many)] == [library.encode_ordinary(t) for t in many]
+        assert sum(getsizeof(k) + getsizeof(v) for held in (codec.known, codec.older) for k, v in held.items()) <= 400_000
+    chunks = ChunkEncoder(codec.encode_many, 50)
+    for _ in range(3):
+        for at in range(0, 600, 20):
+            many = [" ".join(words[max(0, at - 30) : at + 20]), "", " x", "a\n b"]
+            assert [np.frombuffer(p, "<u4").tolist() for p in chunks.encode(many)] == [library.encode_ordinary(t) for t in many]
+    # ids are decoded in bounded runs of rows, without an encoder
+    rows = [(k, None if k % 3 == 0 else library.encode_ordinary(words[k] * (k % 4) + "日本 😀")) for k in range(40)]
+    want = [library.decode_bytes(ids or []) for _, ids in rows]
+    both = byte_bpe.encode(spark.createDataFrame([(k, x.decode() if k % 5 else None) for k, x in enumerate(want)], "k long, t string"), path, pattern, "k", "t", decoded="d")
+    assert both.columns == ["k", "ids", "d"]
+    assert {x["k"]: (x["ids"], bytes(x["d"])) for x in both.collect()} == {k: (library.encode_ordinary(x.decode()), x) if k % 5 else ([], b"") for k, x in enumerate(want)}
+    got = byte_bpe.decode(spark.createDataFrame(rows, "k long, ids array<int>"), path, pattern).collect()
+    assert {x["k"]: bytes(x["decoded"]) for x in got} == dict(enumerate(want))
+    tokens, ids = byte_bpe.TokenBytes(ranks), pa.array([x for _, x in rows], pa.list_(pa.int32()))
+    cuts = list(byte_bpe.runs(np.array([len(x or []) for _, x in rows]), 50))
+    assert len(cuts) > 3 and [x for at, end in cuts for x in tokens.decode(ids.slice(at, end - at)).to_pylist()] == want
+    for wrong in ([1 << 20], [-1], [None]):
+        with pytest.raises(ValueError):
+            tokens.decode(pa.array([[1], wrong], pa.list_(pa.int32())))
+
+
 def roots(ids, links):
     up = {i: i for i in ids}
 
