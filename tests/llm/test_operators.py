@@ -716,6 +716,72 @@ def test_pages_of_any_depth_and_width():
     assert time.time() - began < 5
 
 
+def plain_match(a, b):
+    """The pairs of two child lists that match most nodes, of several the earliest, by the plain table."""
+    if [x.label for x in a] == [y.label for y in b]:
+        return sum(1 + plain_match(x.kids, y.kids)[0] for x, y in zip(a, b, strict=True)), [(k, k) for k in range(len(a))]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            w = best[i][j] + 1 + plain_match(x.kids, y.kids)[0] if x.label == y.label else 0
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], w)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if best[i][j] == best[i - 1][j]:
+            i -= 1
+        elif best[i][j] == best[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return best[-1][-1], out[::-1]
+
+
+@pytest.mark.parametrize("cells", [0, 300])
+def test_long_lists_match_most_nodes(monkeypatch, cells):
+    monkeypatch.setattr(html_text, "CELLS", cells, raising=False)
+    r = random.Random(12)
+    tree = lambda d: r.choice("abc") + (f"({','.join(tree(d - 1) for _ in range(r.randint(1, 4)))})" if d and r.random() < 0.6 else "")
+    for n, m in [(1, 1), (2, 5), (9, 4), (30, 31), (60, 20), (230, 210), (3, 15000), (15000, 3)]:
+        a, b = (html_text.read(f"r({','.join(tree(2 if k < 1000 else 0) for _ in range(k))})").kids for k in (n, m))
+        assert html_text.match_kids(a, b) == plain_match(a, b)[1]
+    # a partner far off is one still, and a text in it is counted there
+    head, tail = "".join(f"<div class={x}{y}>t</div>" for x in "abcdefghijklmnop" for y in "abcdefghijklmnop"), "<dl><dt>Old line</dt></dl>"
+    pages = [f"<body><div>{head if k % 2 else ''}{tail}<p>{f"own text of page {k} " * 60}</p></div></body>" for k in range(20)]
+    shapes = [html_text.shape_of(html_text.parse(x))[0] for x in pages[:2]]
+    root = html_text.read(html_text.merged([(shapes[1], 10), (shapes[0], 10)]))
+    assert [x.pages for x in html_text.all_slots(root) if x.label in ("dl", "dt", "p")] == [20, 20, 20]
+    wrapper = plain_wrapper(pages)
+    assert "Old line" not in html_text.extract(pages[4], wrapper) + html_text.extract(pages[5], wrapper)
+
+
+def test_long_lists_of_few_differences_are_matched_in_bounded_time(monkeypatch):
+    r = random.Random(13)
+    pieces = ["p", "div", "p(b)", "div(p,ul(li))", "ul(li)", "div(p,p,ul)", "table"]
+
+    def changed(kids, n):
+        kids = list(kids)
+        for _ in range(n):
+            k = r.randrange(len(kids) + 1)
+            kids[k : k + r.randint(0, 3)] = [r.choice(pieces) for _ in range(r.randint(0, 3))]
+        return kids
+
+    for off in (1, 2, 64):
+        monkeypatch.setattr(html_text, "OFF", off, raising=False)
+        monkeypatch.setattr(html_text, "CELLS", 0)
+        for n, m in ((1, 1), (40, 1), (40, 5), (60, 30), (30, 300)):
+            a = [r.choice(pieces) for _ in range(n)]
+            b = changed(a, m)
+            one, other = (html_text.read(f"r({','.join(x)})").kids if x else [] for x in (a, b))
+            assert html_text.match_kids(one, other) == plain_match(one, other)[1]
+            assert html_text.match_kids(other, one) == plain_match(other, one)[1]
+    a = [r.choice(pieces) for _ in range(60_000)]
+    one, other = (html_text.read(f"r({','.join(x)})").kids for x in (a, changed(["table", *a[1:]], 40)))
+    began = time.time()
+    assert len(html_text.match_kids(one, other)) > 59_000
+    assert time.time() - began < 20
+
+
 def test_wrapper_keeps_the_common_slots(monkeypatch):
     monkeypatch.setattr(html_text, "SLOTS", 12)
     pages = [f"<body><div class=x><p>Old line</p><h2>own text of page {k} and more</h2></div>" + "".join(f"<div class={'abcdefgh'[k % 8]}{'ijklmnop'[j]}>t</div>" for j in range(8)) for k in range(40)]
