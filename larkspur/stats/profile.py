@@ -69,6 +69,16 @@ def approx_distinct(column: str, error: float = 0.0081) -> Column:
     return F.approx_count_distinct(column, error)
 
 
+def distinct_counts(df: DataFrame, column: str, error: float = 0.0081) -> DataFrame:
+    """(approximate, exact): the sketch's count of distinct values and the exact one, NULLs left out.
+
+    Both are taken of the distinct values: a sketch is the same for repeated values, and beside a distinct aggregate of the
+    whole table there would be a sketch for each value.
+    """
+    values = df.select(column).distinct()
+    return values.agg(approx_distinct(column, error).alias("approximate"), F.count(column).alias("exact"))
+
+
 def sketches(df: DataFrame, keys: Sequence[str], column: str, log_buckets: int = 14) -> DataFrame:
     """A mergeable distinct-count sketch (HyperLogLog) of each group, as bytes in column sketch."""
     return df.groupBy(*keys).agg(F.hll_sketch_agg(column, log_buckets).alias("sketch"))

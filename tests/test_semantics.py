@@ -215,6 +215,16 @@ def test_sketches_merge(spark):
     assert abs(whole / 20_000 - 1) < 0.03
 
 
+def test_distinct_counts_hold_one_sketch(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 20_000).alias("v"))
+    got = profile.distinct_counts(rows, "v")
+    assert got.first().asDict() == rows.agg(profile.approx_distinct("v").alias("approximate")).first().asDict() | {"exact": 20_000}
+    plan = catalog.queries()["stats_approx_distinct"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    found = [line for line in plan.splitlines() if "approx_count_distinct" in line and "Aggregate" in line]
+    assert found and all("keys=[]" in line for line in found)  # no sketch for each value
+    assert profile.distinct_counts(rows.where("v < 0"), "v").first().asDict() == {"approximate": 0, "exact": 0}
+
+
 def test_templates(spark):
     t = F.lit("2023-01-05 14:07:09").cast("timestamp_ntz")
     for template, want in (("YYYY-MM-DD HH24:MI:SS", "2023-01-05 14:07:09"), ('DY "the" DD', "THU the 05"), ("HH12 AM", "02 PM"), ("Month YY", "January 23"), ("T", "T")):
