@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 #: Ranges into which an order is cut.
 RANGES = 64
-#: Types that have approximate percentiles; their accuracy, and how far from a share the bounds are that surely hold its value.
+#: Types that have approximate percentiles.
 NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz")
-ACCURACY, NEAR = 10_000, 0.001
 #: Rows of a key that are windowed together by sliding_rows.
 RUN = 1 << 16
 
@@ -27,7 +26,8 @@ def range_number(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
     range, so a result does not depend on where the bounds lie.
     """
     shares = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    numeric = df.select(F.col(order)).schema[0].dataType.typeName() in NUMERIC
+    kind = df.select(F.col(order)).schema[0].dataType
+    numeric = kind.typeName() in NUMERIC
     source = df.select(F.col(order).alias("v")).where("v IS NOT NULL")
     if numeric:
         found = source.agg(F.percentile_approx("v", shares, F.lit(1000)).alias("b"))
@@ -37,7 +37,7 @@ def range_number(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
     value = F.col(order)
     n = F.lit(0)
     for k, b in enumerate(bounds, 1):
-        n = F.when(value >= F.lit(b), k).otherwise(n)
+        n = F.when(value >= F.lit(b).cast(kind), k).otherwise(n)
     return F.when(value.isNull(), len(bounds) + 1).otherwise(n)
 
 
@@ -86,49 +86,42 @@ def sliding_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], befor
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[str, tuple[float, bool]]) -> DataFrame:
     """A row for each key with the exact percentiles of value, named as in shares: (share, whether between values).
 
-    A first pass finds bounds a little below and above each share; a second one counts the values between them one by one,
-    and all others by the gap that they lie in. So no task sees more than a small part of a key's values. NULLs don't
-    count. A discrete percentile is the first value at or above its share of the rows.
+    Equal values are counted before anything is moved. Their counts by range say which ranges of a key hold a share's
+    place; only these are sorted, each on its own. So no task sees more than a small part of a key's values, and no row is
+    joined by key alone. NULLs don't count; a key of NULLs alone has NULL. A discrete percentile is the first value at or
+    above its share of the rows.
     """
-    plain = df.where(F.col(value).isNotNull()).select(*keys, value)
-    if plain.schema[value].dataType.typeName() in NUMERIC:
-        wide = lambda side: [F.lit(min(max(s + side * NEAR, 0.0), 1.0)) for s, _ in shares.values()]
-        marks = plain.groupBy(*keys).agg(F.percentile_approx(value, F.array(*wide(-1), *wide(1)), F.lit(ACCURACY)).alias("_m"))
-        placed = _with_keys(plain, marks, keys, ["_m"])
-        v, n = F.col(value), len(shares)
-        near = F.lit(False)
-        for k in range(n):
-            near |= (v >= F.get("_m", F.lit(k))) & (v <= F.get("_m", F.lit(n + k)))
-        gap = F.size(F.filter("_m", lambda m: m <= v))
-        cells = placed.groupBy(*keys, F.when(near, -1).otherwise(gap).alias("_gap"), F.when(near, v).alias("_v")).agg(F.count("*").alias("_n"), F.min(value).alias(value))
-        up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        placed = cells.withColumn("_up", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
-    else:
-        counts = plain.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-        placed = _with_keys(running_total(counts, keys, [value], _up=F.col("_n")), counts.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys, ["_all"])
+    counts = df.groupBy(*keys, value).agg(F.count(value).alias("_n"))
+    counts = counts.withColumn("_range", range_number(df, value))
+    places = []
+    for share, between in shares.values():
+        place = F.lit(share) * (F.col("_all") - 1)
+        places.append((F.floor(place), F.ceil(place)) if between else (F.greatest(F.ceil(F.lit(share) * F.col("_all")) - 1, F.lit(0)),))
+    by_key = Window.partitionBy(*keys)
+    before = by_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_t"))
+    totals = totals.withColumns({"_before": F.coalesce(F.sum("_t").over(before), F.lit(0)), "_all": F.sum("_t").over(by_key)})
+    holds = F.col("_all") == 0
+    for place in [p for ps in places for p in ps]:
+        holds |= (place >= F.col("_before")) & (place < F.col("_before") + F.col("_t"))
+    chosen = totals.where(holds).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), "_before", "_all")
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    own = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(chosen, same).withColumn("_up", F.sum("_n").over(own) + F.col("_before"))
     low, out = F.col("_up") - F.col("_n"), []
     at = lambda place: F.max(F.when((place >= low) & (place < F.col("_up")), F.col(value)))
-    for name, (share, between) in shares.items():
+    for (name, (share, between)), place in zip(shares.items(), places, strict=True):
         if between:
-            place = F.lit(share) * (F.col("_all") - 1)
-            a, b, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+            exact = F.lit(share) * (F.col("_all") - 1)
+            a, b, part = at(place[0]), at(place[1]), F.max(exact - place[0])
             out.append(F.when(a == b, a.cast("double")).otherwise(a + (b - a) * part).alias(name))
         else:
-            out.append(at(F.greatest(F.ceil(F.lit(share) * F.col("_all")) - 1, F.lit(0))).alias(name))
+            out.append(at(place[0]).alias(name))
     return placed.groupBy(*keys).agg(*out)
 
 
-def _with_keys(df: DataFrame, other: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """df with columns of the other table's row of the same keys, NULLs equal; without keys that table has one row."""
-    if not keys:
-        return df.join(F.broadcast(other))
-    named = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *columns)
-    same = F.lit(True)
-    for k in keys:
-        same &= df[k].eqNullSafe(named[f"_k_{k}"])
-    return df.join(named, same).select(*df.columns, *columns)
-
-
 def mode(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The most frequent value of each key, of equally frequent ones the least."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))

@@ -177,6 +177,22 @@ def test_percentiles_mode_and_offset(spark):
         assert ordered.offset_rows(df, n).count() == max(402 - n, 0)
 
 
+def test_percentiles_of_few_keys_spread_over_tasks(spark):
+    r = random.Random(5)
+    rows = [(g, r.gauss(0, 100) if g else None, str(r.randrange(10**6))) for g in [1] * 3000 + [2] * 50 + [None, 0, 0]]
+    df = spark.createDataFrame(rows, "g int, v double, t string")
+    shares = {"lo": (0.0, False), "d": (0.37, False), "c": (0.5, True), "hi": (1.0, False)}
+    of = {g: sorted(v for h, v, _ in rows if h == g and v is not None) for g in (0, 1, 2, None)}
+    place = lambda v, s: v[max(math.ceil(s * len(v)) - 1, 0)] if v else None
+    near = lambda x: tuple(None if y is None else round(y, 9) for y in x)
+    got = ordered.percentiles(df, ["g"], "v", shares)
+    want = {g: near((place(v, 0.0), place(v, 0.37), statistics.median(v) if v else None, place(v, 1.0))) for g, v in of.items()}
+    assert {x["g"]: near(x[1:]) for x in got.collect()} == want
+    assert ordered.percentiles(df, [], "t", {"d": (0.37, False)}).first()[0] == place(sorted(t for _, _, t in rows), 0.37)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert all("_range" in line for line in plan.splitlines() if "Join" in line)  # no row is joined by its key alone
+
+
 def test_recursion_of_many_rounds(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)], "a int, b int")
     step = lambda new: new.join(edges, F.col("n") == F.col("a")).select(F.col("b").alias("n"))
