@@ -1,17 +1,18 @@
 """Search vectors, queries, matching, ranking and headlines as column expressions.
 
 A search vector is an array of (lexeme, positions) structs in order of lexeme. Queries are parsed on the driver and compiled
-to expressions, so matching runs in the JVM, on the words that a query names. Only stemming needs Python. Nothing here shuffles
-a text: a document's vector is made of its row alone.
+to expressions, so matching runs in the JVM, on the words that a query names. Whole vectors need Python, which gets texts in
+Arrow batches and answers in small ones. Nothing here shuffles a text: a document's vector is made of its row alone.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from array import array
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,11 @@ def tokens(text: Column) -> Column:
 VECTOR = T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 
 
+#: Bytes of texts whose vectors a worker holds at once (a longer text is alone), and the longest word that it keeps.
+PART_BYTES, LONGEST = 2 << 20, 64
+WORD_BYTES = re.compile(WORD.encode())
+
+
 @lru_cache(maxsize=200_000)
 def lexeme_of(word: str, config: str) -> str | None:
     """A word's lexeme: english has none for stop words and stems the others, simple strips a plain suffix."""
@@ -48,21 +54,57 @@ def lexeme_of(word: str, config: str) -> str | None:
     return word
 
 
-def vector(text: Column, config: str = "english") -> Column:
-    """The search vector of a text, empty without lexemes: words come in Arrow batches, known ones with their lexeme."""
-
-    @F.pandas_udf(VECTOR)
-    def of_words(words: pd.Series) -> pd.Series:
-        def one(row) -> list[dict]:
-            found: dict[str, list[int]] = {}
-            for k, word in enumerate(row if row is not None else (), 1):
-                if (lexeme := lexeme_of(word, config)) is not None:
-                    found.setdefault(lexeme, []).append(k)
-            return [{"lexeme": w, "positions": found[w]} for w in sorted(found)]
-
-        return words.map(one)
-
-    return of_words(tokens(text))
+def vectors(texts: Sequence[bytes | None], config: str) -> pa.Array:
+    """The search vectors of texts in UTF-8, as flat arrays: a document's words are objects only while it is read."""
+    ends, lexemes, place_ends, places = array("i", [0]), [], array("i", [0]), array("i")
+    for text in texts:
+        by_word: dict[bytes, list[int]] = {}
+        for k, word in enumerate(WORD_BYTES.findall((text or b"").lower()), 1):  # bytes: only ASCII letters change
+            if word in by_word:
+                by_word[word].append(k)
+            else:
+                by_word[word] = [k]
+        found: dict[str, list[int]] = {}
+        for word, at in by_word.items():
+            lexeme = (lexeme_of if len(word) <= LONGEST else lexeme_of.__wrapped__)(word.decode(), config)
+            if lexeme is not None:
+                found[lexeme] = sorted(found[lexeme] + at) if lexeme in found else at
+        for lexeme in sorted(found):
+            lexemes.append(lexeme)
+            places.extend(found[lexeme])
+            place_ends.append(len(places))
+        ends.append(len(lexemes))
+    flat = lambda of: pa.Array.from_buffers(pa.int32(), len(of), [None, pa.py_buffer(of)])
+    positions = pa.ListArray.from_arrays(flat(place_ends), flat(places))
+    return pa.ListArray.from_arrays(flat(ends), pa.StructArray.from_arrays([pa.array(lexemes, pa.string()), positions], ["lexeme", "positions"]))
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[bytes | None]]]:
+    """(first row, texts) of parts of at most PART_BYTES, or of one longer text."""
+    first, part, held = 0, [], 0
+    for k, text in enumerate(texts):
+        value = text.as_buffer()
+        size = len(value) if value is not None else 0
+        if part and held + size > PART_BYTES:
+            yield first, part
+            first, part, held = k, [], 0
+        part.append(value.to_pybytes() if value is not None else None)
+        held += size
+    if part:
+        yield first, part
+
+
+def _vectors(docs: DataFrame, keys: Sequence[str], text: str, config: str) -> DataFrame:
+    """The keys and vector of every document, empty without lexemes."""
+    plain = docs.select(*keys, F.col(text).cast("binary").alias("vector"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, part in _parts(batch.column(len(keys))):
+                rows = batch.slice(first, len(part))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], vectors(part, config)], batch.schema.names)
+
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields[:-1], T.StructField("vector", VECTOR)]))
 
 
 def term_vector(text: Column, terms: Sequence[str]) -> Column:
@@ -86,13 +128,13 @@ def simple_lexeme(word: Column) -> Column:
 
 def lexemes(docs: DataFrame, key: str, text: str, config: str = "english") -> DataFrame:
     """(key, lexeme, position) of every lexeme."""
-    entries = docs.select(key, F.explode(vector(F.col(text), config)).alias("e"))
+    entries = to_tsvector(docs, key, text, config).select(key, F.explode("vector").alias("e"))
     return entries.select(key, "e.lexeme", F.explode("e.positions").alias("position"))
 
 
 def to_tsvector(docs: DataFrame, key: str, text: str, config: str = "english") -> DataFrame:
-    """(key, vector) of every document that has a lexeme."""
-    return docs.select(key, vector(F.col(text), config).alias("vector")).where(F.size("vector") > 0)
+    """(key, vector) of every document that has a lexeme: english stems words that are no stop words, simple strips a plain suffix."""
+    return _vectors(docs, [key], text, config).where(F.size("vector") > 0)
 
 
 def whole_words(words: Sequence[str]) -> str:
@@ -222,9 +264,14 @@ def ts_headline(text: Column, query: Query, most_words: int = 35, start: str = "
 
 def lexeme_statistics(docs: DataFrame, key: str, text: str, most: int = 10, config: str = "english") -> DataFrame:
     """The most common lexemes by the number of documents that hold them, and the mean number of lexemes of a document."""
-    vectors = docs.select(vector(F.col(text), config).alias("v"))
-    top = vectors.select(F.explode("v").alias("e")).groupBy("e.lexeme").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lexeme").limit(most)
-    return top.join(F.broadcast(vectors.agg(F.avg(F.size("v")).alias("average_length"))))  # one row
+    if config == "english":
+        found = _vectors(docs, [], text, config).select(F.explode("vector").alias("e")).select("e.lexeme")
+    else:
+        found = docs.select(F.explode(F.array_distinct(F.transform(tokens(F.col(text)), simple_lexeme))).alias("lexeme"))
+    counts = found.groupBy("lexeme").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "lexeme").limit(most)
+    mean = counts.agg(F.sum("n").alias("_n")).join(F.broadcast(docs.agg(F.count("*").alias("_docs"))))  # one row each
+    return top.join(F.broadcast(mean.select(F.try_divide("_n", "_docs").alias("average_length"))))
 
 
 def thesaurus_lexemes(word: Column, groups: Sequence[Sequence[str]]) -> Column:

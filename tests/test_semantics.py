@@ -1,9 +1,12 @@
 """Operators and expressions on small literal tables."""
 
+import collections
 import math
 import random
+import re
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -281,3 +284,29 @@ def test_no_temporary_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         files.shared_dir(Session)
+
+
+def test_vectors_of_many_texts_stay_small(spark, monkeypatch):
+    r = random.Random(7)
+    words = ["The", "cats", "running", "flies", "ies", "été", "x_9", "s", "Relational", "of"]
+    texts = [None, "", "-", *("".join(r.choice(words) + r.choice([" ", "", " - "]) for _ in range(r.randrange(60))) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+
+    def plain(text, config):
+        found = {}
+        for k, w in enumerate(re.findall("[a-z0-9_]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), 1):
+            if (lexeme := search.lexeme_of(w, config)) is not None:
+                found.setdefault(lexeme, []).append(k)
+        return sorted(found.items())
+
+    for config in ("english", "simple"):
+        got = {x["id"]: [tuple(e) for e in x["vector"]] for x in search.to_tsvector(docs, "id", "t", config).collect()}
+        assert got == {k: v for k, t in enumerate(texts) if (v := plain(t, config))}
+        counts = collections.Counter(w for t in texts for w, _ in plain(t, config))
+        top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:3]
+        assert [tuple(x) for x in search.lexeme_statistics(docs, "id", "t", 3, config).orderBy(F.desc("n"), "lexeme").collect()] == [(*x, counts.total() / len(texts)) for x in top]
+    plan = search.lexeme_statistics(docs, "id", "t", 3, "simple")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan
+    monkeypatch.setattr(search, "PART_BYTES", 8)  # a batch comes back in parts of few texts
+    column = pa.array([b"aaaa", None, b"bbbb", b"c" * 30, b"dd"])
+    assert [(first, len(part)) for first, part in search._parts(column)] == [(0, 3), (3, 1), (4, 1)]
