@@ -38,10 +38,6 @@ def text_vector_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select("doc_id", F.explode("vector").alias("e")).select("doc_id", "e.lexeme", "e.positions")
 
 
-def _vectors(spark: SparkSession, sf_dir: str, query: T.Query) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", T.term_vector(F.col("text"), query.terms()).alias("vector"))
-
-
 @register("text_match", f"SELECT doc_id FROM {EN} WHERE ({COUNT('the')} > 0 AND {COUNT('of')} = 0) OR {COUNT('der')} > 0")
 def text_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = T.Query.parse("the & !of | der")
@@ -57,7 +53,8 @@ def text_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("text_rank_cover", f"SELECT doc_id, round(CASE WHEN n > 1 THEN n / (1 + CAST(hi - lo AS DOUBLE) / (n - 1)) ELSE n / 2.0 END, 8) AS score FROM (SELECT doc_id, CAST(count(*) AS DOUBLE) AS n, min(p) AS lo, max(p) AS hi FROM (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM {EN}) WHERE t IN ('the', 'la') GROUP BY doc_id)")
 def text_rank_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = T.Query.parse("the | la")
-    return _vectors(spark, sf_dir, query).select("doc_id", F.round(T.ts_rank_cd(F.col("vector"), query), 8).alias("score")).where("score > 0")
+    found = load(spark, sf_dir, "documents").where(query.matches_text(F.col("text")))
+    return found.select("doc_id", F.round(T.text_rank_cd(F.col("text"), query), 8).alias("score"))
 
 
 HEADLINE_SQL = """

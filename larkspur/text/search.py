@@ -251,15 +251,37 @@ def ts_rank_cd(vector: Column, query: Query) -> Column:
     return F.when(n > 0, n / (1 + gap)).otherwise(0.0)
 
 
+def text_rank_cd(text: Column, query: Query) -> Column:
+    """ts_rank_cd of a text whose words are its lexemes, without its vector: the words between the first term and the last are counted."""
+    term = whole_words(sorted(query.terms()))
+    words = F.regexp_count(F.regexp_extract(text, f"(?s){term}(.*){term}", 1), F.lit("[A-Za-z0-9_]++")) + 1
+
+    def of_count(n: Column) -> Column:
+        return F.when(n > 1, n / (1 + words / (n - 1))).when(n > 0, n / 2.0).otherwise(0.0)
+
+    return F.get(F.transform(F.array(F.regexp_count(text, F.lit(term))), of_count), F.lit(0))
+
+
 def ts_headline(text: Column, query: Query, most_words: int = 35, start: str = "<b>", stop: str = "</b>") -> Column:
-    """At most most_words words around the first word that is a term of the query, with terms marked."""
-    words = list(query.terms())
-    spans = F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"), F.lit(1))
-    is_term = lambda s: F.lower(s).isin(words)
-    first = F.array_position(F.transform(spans, is_term), True)
-    begin = F.when(first > 0, F.greatest(first - 1 - most_words // 2, F.lit(0))).otherwise(0)
-    count = F.when(F.get(spans, begin).rlike("^[A-Za-z0-9_]"), 2 * most_words - 1).otherwise(2 * most_words)
-    return F.array_join(F.transform(F.slice(spans, begin.cast("int") + 1, count), lambda s: F.when(is_term(s), F.concat(F.lit(start), s, F.lit(stop))).otherwise(s)), "")
+    """At most most_words words around the first word that is a term of the query, with terms marked.
+
+    Only what lies before that word is read, up to it, and as much behind it as is shown.
+    """
+    words, span = sorted(query.terms()), "(?:[A-Za-z0-9_]++|[^A-Za-z0-9_]++)"
+    is_term = lambda s: F.translate(s, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").isin(words)
+
+    def around(left: Column) -> Column:
+        before = F.reverse(F.regexp_extract(F.reverse(left), f"^{span}{{0,{most_words // 2}}}", 0))
+        behind = F.regexp_extract(F.substring(text, F.length(left) + 1, F.length(text)), f"^{span}{{0,{2 * most_words}}}", 0)
+        return F.regexp_extract_all(F.concat(before, behind), F.lit(f"({span})"), F.lit(1))
+
+    def marked(spans: Column) -> Column:
+        count = F.when(F.get(spans, F.lit(0)).rlike("^[A-Za-z0-9_]"), 2 * most_words - 1).otherwise(2 * most_words)
+        return F.array_join(F.transform(F.slice(spans, 1, count), lambda s: F.when(is_term(s), F.concat(F.lit(start), s, F.lit(stop))).otherwise(s)), "")
+
+    left = F.regexp_extract(text, f"(?s)^(.*?)(?={whole_words(words)})", 1)  # empty without a term, too
+    spans = F.get(F.transform(F.array(left), around), F.lit(0))
+    return F.get(F.transform(F.array(spans), marked), F.lit(0))
 
 
 def lexeme_statistics(docs: DataFrame, key: str, text: str, most: int = 10, config: str = "english") -> DataFrame:

@@ -310,3 +310,27 @@ def test_vectors_of_many_texts_stay_small(spark, monkeypatch):
     monkeypatch.setattr(search, "PART_BYTES", 8)  # a batch comes back in parts of few texts
     column = pa.array([b"aaaa", None, b"bbbb", b"c" * 30, b"dd"])
     assert [(first, len(part)) for first, part in search._parts(column)] == [(0, 3), (3, 1), (4, 1)]
+
+
+def test_headline_and_cover_rank_read_what_they_need(spark):
+    r = random.Random(11)
+    pieces = ["the", "The", "LA", "la", "other", "x_the", "\u00e9t\u00e9", "\U0001f600", "la\u00e9", "9s"]
+    texts = [None, "", "-", "the", "- the", "the la", "no term at all", *("".join(r.choice(pieces) + r.choice([" ", "", ", ", "\n"]) for _ in range(r.randrange(120))) for _ in range(80))]
+    texts += ["x " * 300 + "the" + " y\U0001f600" * 300]
+    query = search.Query.parse("the | la")
+
+    def headline(text):
+        spans = re.findall("[A-Za-z0-9_]+|[^A-Za-z0-9_]+", text)
+        at = next((k for k, s in enumerate(spans) if s.lower() in ("the", "la")), 0)
+        begin = max(at - 17, 0)
+        count = 69 if spans and re.match("[A-Za-z0-9_]", spans[begin]) else 70
+        return "".join(f"<b>{s}</b>" if s.lower() in ("the", "la") else s for s in spans[begin : begin + count])
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {x["id"]: x["h"] for x in df.select("id", search.ts_headline(F.col("t"), query).alias("h")).collect()}
+    assert got == {k: None if t is None else headline(t) for k, t in enumerate(texts)}
+    known = df.where("t IS NOT NULL")
+    want = known.select("id", search.ts_rank_cd(search.term_vector(F.col("t"), query.terms()), query))
+    assert values(known.select("id", search.text_rank_cd(F.col("t"), query))) == values(want)
+    for name, lists in (("text_headline", "regexp_extract_all(text"), ("text_rank_cover", "translate(text")):  # of all words
+        assert lists not in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
