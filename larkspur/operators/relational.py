@@ -109,3 +109,27 @@ def not_in(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFra
 def pivot(df: DataFrame, keys: Sequence[str], column: str, values: Sequence, aggregate: Column) -> DataFrame:
     """A cross table; named values keep it to one job."""
     return df.groupBy(*keys).pivot(column, list(values)).agg(aggregate)
+
+
+#: Rows of a side in one block of block_join, over all keys, and tasks for each pair of blocks.
+BLOCK_ROWS, BLOCK_TASKS = 1 << 15, 4
+
+
+def block_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, residual: Column) -> DataFrame:
+    """An inner join on a key of few values whose pairs are many: its work is the pairs, which a join by key alone gives few tasks.
+
+    Rows are dealt to blocks by their hash, each row is sent to all blocks of the other side, and a key's pairs of two blocks
+    are joined together. A task holds a block's rows of a key at most, and the tasks grow with the pairs; they are
+    of a set number, as adaptive execution would pack them by their input.
+    """
+    a, b = (max(1, -(-side.count() // BLOCK_ROWS)) for side in (left, right))
+    n = max(16, a * b * BLOCK_TASKS)
+
+    def dealt(side: DataFrame, key: str, own: tuple[str, int], other: tuple[str, int]) -> DataFrame:
+        block = F.pmod(F.xxhash64(*side.columns), F.lit(own[1])).alias(own[0])
+        spread = side.select("*", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other[1] - 1).cast("long"))).alias(other[0]))
+        return spread.where(F.col(key).isNotNull()).repartition(n, key, *sorted((own[0], other[0])))
+
+    x, y = dealt(left, left_key, ("_a", a), ("_b", b)), dealt(right, right_key, ("_b", b), ("_a", a))
+    pairs = x.join(y, (x[left_key] == y[right_key]) & (x["_a"] == y["_a"]) & (x["_b"] == y["_b"]) & residual)
+    return pairs.select(*[x[c] for c in left.columns], *[y[c] for c in right.columns])

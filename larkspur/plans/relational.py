@@ -263,3 +263,11 @@ def window_sliding_few_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding frames within three keys, by runs of rows that overlap by the frame."""
     out = O.sliding_rows(load(spark, sf_dir, "orders"), ["o_orderstatus"], ["o_orderkey"], 2, 1, s=F.sum("o_custkey"), hi=F.max("o_totalprice"))
     return out.select("o_orderkey", "s", "hi")
+
+
+@register("join_comma_residual", "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE s_nationkey = c_nationkey AND s_acctbal < c_acctbal")
+def join_comma_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearly every pair of a nation is a row, so the pairs are spread, not the nations."""
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return R.block_join(c, s, "c_nationkey", "s_nationkey", F.col("s_acctbal") < F.col("c_acctbal")).select("s_suppkey", "c_custkey")

@@ -334,3 +334,15 @@ def test_headline_and_cover_rank_read_what_they_need(spark):
     assert values(known.select("id", search.text_rank_cd(F.col("t"), query))) == values(want)
     for name, lists in (("text_headline", "regexp_extract_all(text"), ("text_rank_cover", "translate(text")):  # of all words
         assert lists not in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_block_join_spreads_pairs_of_few_keys(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_ROWS", 50)
+    r = random.Random(13)
+    make = lambda n: [(k, r.choice([1, 1, 1, 2, None]), r.choice([None, *range(9)])) for k in range(n)]
+    xs, ys = make(240), make(130)
+    x, y = spark.createDataFrame(xs, "a int, k int, v int"), spark.createDataFrame(ys, "b int, l int, w int")
+    got = R.block_join(x, y, "k", "l", F.col("w") < F.col("v"))
+    assert values(got.select("a", "b")) == sorted(((a, b) for a, k, v in xs for b, m, w in ys if None not in (k, m, v, w) and k == m and w < v), key=str)
+    tasks = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 8 and max(t["count"] for t in tasks) < sum(t["count"] for t in tasks) / 4
